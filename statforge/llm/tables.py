@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statforge.sources.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,4 +38,5 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, under new names: other columns can't clash."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").alias(new) for new, c in columns.items()])
