@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, tokens
+from . import mixing, neardup, packing, privacy, quality, tokens
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,52 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumnsRenamed({"_copy": "copy", "_order": "shuffle_key"})
+
+
+#: The default targets: sizes of the sources to the power of one half.
+OP6_SQL = f"""
+with size as (select source, sum(length(text)) as n from documents group by source),
+rate as (select source, sqrt(n) / sum(sqrt(n)) over () * sum(n) over () / n as r from size),
+low as (select source, floor(r / {mixing.WHOLE}) * {mixing.WHOLE} as whole, r - floor(r / {mixing.WHOLE}) * {mixing.WHOLE} as low from rate),
+term as (select source, whole, k, exp(-low + k * ln(low) - lgamma(k + 1)) as p from low, generate_series(0, {mixing._TERMS}) g(k)),
+cdf as (select source, whole, k, sum(p) over (partition by source order by k) as c from term),
+doc as (
+  select *, md5('{mixing.SEED}|' || doc_id || '|' || md5(text)) as own, (('0x' || substr(own, 1, 13))::bigint::double + 0.5) / {float(16**13)} as u from documents
+),
+n as (
+  select d.doc_id, any_value(c.whole)::bigint + count(*) filter (where c.c < d.u) as n
+  from doc d join cdf c on d.source = c.source group by d.doc_id
+)
+select d.doc_id, d.text, d.lang, d.source, d.n_chars, g.copy::bigint as copy,
+  (('0x' || substr(md5(g.copy || '|' || d.own), 1, 13))::bigint::double + 0.5) / {float(16**13)} as shuffle_key
+from doc d join n on d.doc_id = n.doc_id, generate_series(1, n.n) g(copy)
+"""
+
+
+def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_packing": op4_packing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_poisson_mixing": op6_poisson_mixing,
+        "op8_quality_ranking": op8_quality_ranking,
+        "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_poisson_mixing": OP6_SQL}
