@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, neardup, packing, privacy, quality, search, tokens
+from . import audio, licences, mixing, neardup, packing, pages, privacy, quality, search, tokens
 from .tables import table
 from .textops import WORD_PATTERN
 
@@ -22,6 +22,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_pairs(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,10 @@ from doc d join n on d.doc_id = n.doc_id, generate_series(1, n.n) g(copy)
 """
 
 
+def op7_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.recordings_aligned(audio.played(table(spark, sf_dir, "embeddings")))
+
+
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -115,10 +123,12 @@ from hit join size using (template) where hit.n >= need and hit.keys = size.keys
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_html_text": op2_html_text,
         "op3_topk_search": op3_topk_search,
         "op4_packing": op4_packing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_poisson_mixing": op6_poisson_mixing,
+        "op7_chroma_alignment": op7_chroma_alignment,
         "op8_quality_ranking": op8_quality_ranking,
         "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
         "op10_licence_scan": op10_licence_scan,
