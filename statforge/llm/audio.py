@@ -228,5 +228,16 @@ def played(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
 
 
 def recordings_aligned(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", rate: int = RATE) -> DataFrame:
-    """Fingerprint a media column and align its recordings."""
-    return aligned(written(fingerprints(df, id_col, audio_col, rate), "prints"))
+    """(rec_id, prints, partners): each recording's fingerprint and what it aligns with.
+
+    Partners are sorted by id; an offset o says that the partner's frame i + o
+    answers frame i.  Rows of one id all carry that id's partners.
+    """
+    prints = written(fingerprints(df, id_col, audio_col, rate), "prints")
+    pairs = written(aligned(prints), "aligned")
+    sides = pairs.select(F.col("rec_a").alias("rec_id"), F.struct(F.col("rec_b").alias("rec"), "offset", "overlap", "bit_errors").alias("p")).unionByName(
+        pairs.select(F.col("rec_b").alias("rec_id"), F.struct(F.col("rec_a").alias("rec"), (-F.col("offset")).alias("offset"), "overlap", "bit_errors").alias("p"))
+    )
+    listed = sides.groupBy("rec_id").agg(F.array_sort(F.collect_list("p")).alias("partners"))
+    none = F.array().cast(listed.schema["partners"].dataType)
+    return prints.join(listed, "rec_id", "left").select("rec_id", "prints", F.coalesce("partners", none).alias("partners"))

@@ -307,6 +307,8 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
+        if not any(texts):
+            return np.zeros(len(texts), np.int64)
         cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         off = np.concatenate([[0], np.cumsum(size)])
