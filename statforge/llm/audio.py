@@ -21,7 +21,7 @@ Silence gives frames without direction and one constant integer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +95,21 @@ def fingerprint(c: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def fingerprints(df: DataFrame, id_col: str, audio_col: str, rate: int = RATE) -> DataFrame:
-    """(rec_id, prints): the integers of each recording of 16-bit PCM."""
+def pcm16(cell: pa.Scalar) -> np.ndarray | None:
+    """Bytes of 16-bit mono PCM as numbers in [-1, 1); an odd last byte is dropped."""
+    if not cell.is_valid:
+        return None
+    raw = cell.as_buffer()
+    return np.frombuffer(raw, np.int16, count=len(raw) // 2) / 32768.0
+
+
+def fingerprints(df: DataFrame, id_col: str, audio_col: str, rate: int = RATE, decode: Callable[[pa.Scalar], np.ndarray | None] = pcm16) -> DataFrame:
+    """(rec_id, prints): the integers of each recording.
+
+    ``decode`` turns a cell of the media column into a signal.  It runs where
+    the signal is used, one recording at a time: decoded audio is many times
+    the size of the column and never leaves the worker.
+    """
     rows = only(df, rec_id=id_col, audio=audio_col)
     id_type = rows.schema["rec_id"].dataType.simpleString()
 
@@ -104,9 +117,8 @@ def fingerprints(df: DataFrame, id_col: str, audio_col: str, rate: int = RATE) -
         for batch in batches:
             prints = []
             for a in batch.column("audio"):
-                raw = a.as_buffer() if a.is_valid else b""
-                pcm = np.frombuffer(raw, np.int16, count=len(raw) // 2) / 32768.0
-                prints.append(fingerprint(chroma(pcm, rate)))
+                signal = decode(a)
+                prints.append(np.zeros(0, np.int32) if signal is None else fingerprint(chroma(signal, rate)))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prints])]).astype(np.int32))
             flat = pa.array(np.concatenate(prints) if prints else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("rec_id"), pa.ListArray.from_arrays(offsets, flat)], names=["rec_id", "prints"])
@@ -198,42 +210,33 @@ def aligned(prints: DataFrame, votes: int = VOTES, least: int = LEAST_OVERLAP, m
     return tiled.groupBy("leader", "i", "j").applyInArrow(verify, schema).dropDuplicates(["rec_a", "rec_b"])
 
 
-def played(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(rec_id, audio): each vector played as a recording, one note for each coordinate.
+_PITCH = 440.0 * 2 ** (np.arange(12) / 12)
+_TONE = (9000 * np.sin(2 * np.pi * _PITCH[:, None] * np.arange(HOP * 2) / RATE)).astype(np.int16)
 
-    A note's pitch class follows from the coordinate's place and whether it is
-    low, middling or high, so close vectors sound alike.  It stands in for a
-    media column.
-    """
-    rows = only(df, rec_id=id_col, vector=vector_col)
-    id_type = rows.schema["rec_id"].dataType.simpleString()
 
-    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(HOP * 2) / RATE
-        pitch = 440.0 * 2 ** (np.arange(12) / 12)
-        tone = (9000 * np.sin(2 * np.pi * pitch[:, None] * t)).astype(np.int16)
-        for batch in batches:
-            audio = []
-            for v in batch.column("vector").to_pylist():
-                if not v:
-                    audio.append(None)
-                    continue
-                x = np.nan_to_num(np.array([0.0 if c is None else c for c in v]))
-                level = np.searchsorted([-0.43, 0.43], x / (np.sqrt((x * x).mean()) + 1e-12))
-                note = (np.arange(len(x)) * 7 // 3 + np.arange(len(x)) ** 2 // 5 + 4 * level) % 12
-                audio.append(tone[note].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), pa.array(audio, pa.binary())], names=["rec_id", "audio"])
+def rendered(cell: pa.Scalar) -> np.ndarray | None:
+    """A vector played as a recording, one note for each coordinate.
 
-    return rows.mapInArrow(play, f"rec_id {id_type}, audio binary")
+    A note's pitch class follows from the coordinate's place and whether it is
+    low, middling or high, so close vectors sound alike.  It stands in for the
+    decoder of a media column.  A null or empty vector has no recording.
+    """
+    v = cell.as_py()
+    if not v:
+        return None
+    x = np.nan_to_num(np.array([0.0 if c is None else c for c in v]))
+    level = np.searchsorted([-0.43, 0.43], x / (np.sqrt((x * x).mean()) + 1e-12))
+    note = (np.arange(len(x)) * 7 // 3 + np.arange(len(x)) ** 2 // 5 + 4 * level) % 12
+    return _TONE[note].ravel() / 32768.0
 
 
-def recordings_aligned(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", rate: int = RATE) -> DataFrame:
+def recordings_aligned(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", rate: int = RATE, decode: Callable[[pa.Scalar], np.ndarray | None] = pcm16) -> DataFrame:
     """(rec_id, prints, partners): each recording's fingerprint and what it aligns with.
 
     Partners are sorted by id; an offset o says that the partner's frame i + o
     answers frame i.  Rows of one id all carry that id's partners.
     """
-    prints = written(fingerprints(df, id_col, audio_col, rate), "prints")
+    prints = written(fingerprints(df, id_col, audio_col, rate, decode), "prints")
     pairs = written(aligned(prints), "aligned")
     sides = pairs.select(F.col("rec_a").alias("rec_id"), F.struct(F.col("rec_b").alias("rec"), "offset", "overlap", "bit_errors").alias("p")).unionByName(
         pairs.select(F.col("rec_b").alias("rec_id"), F.struct(F.col("rec_a").alias("rec"), (-F.col("offset")).alias("offset"), "overlap", "bit_errors").alias("p"))

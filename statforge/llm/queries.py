@@ -83,7 +83,7 @@ from doc d join n on d.doc_id = n.doc_id, generate_series(1, n.n) g(copy)
 
 
 def op7_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.recordings_aligned(audio.played(table(spark, sf_dir, "embeddings")))
+    return audio.recordings_aligned(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=audio.rendered)
 
 
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
