@@ -182,8 +182,10 @@ class Ftrl:
     l2: float = 0.5
 
     def weights(self) -> np.ndarray:
-        shrunk = -(self.z - np.sign(self.z) * self.l1) / ((self.beta + np.sqrt(self.n)) / self.alpha + self.l2)
-        return np.where(np.abs(self.z) <= self.l1, 0.0, shrunk)
+        """A feature without a penalty that has seen no gradient has weight 0."""
+        slow = (self.beta + np.sqrt(self.n)) / self.alpha + self.l2
+        shrunk = -(self.z - np.sign(self.z) * self.l1) / np.where(slow > 0, slow, 1.0)
+        return np.where((np.abs(self.z) <= self.l1) | (slow <= 0), 0.0, shrunk)
 
     def probability(self) -> Column:
         e = vec.affine(vec.columns(self.features), self.weights())

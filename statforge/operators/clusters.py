@@ -20,7 +20,7 @@ from ..errors import InvalidParameter, NotConverged, NotEnoughSamples, TooLarge,
 from ..functions import vec
 from ..sources.generate import uniform
 from ..sources.store import written
-from .moments import moments, summed, with_numbers
+from .moments import complete, moments, summed, with_numbers
 from .neighbours import block_distance, vectors, width, within_range
 
 MOST_ORDERED = 20_000
@@ -95,8 +95,7 @@ def _pass(df: DataFrame, features: Sequence[str], c: np.ndarray, metric: str) ->
 def _sampled(df: DataFrame, features: Sequence[str], k: int, seed: int) -> np.ndarray:
     """k rows, those of the smallest hashes."""
     cols = vec.columns(features)
-    key = uniform(seed, *cols)
-    rows = df.select(key.alias("_key"), *cols).dropna().orderBy("_key").limit(k).collect()
+    rows = complete(df, features).withColumn("_key", uniform(seed, *cols)).orderBy("_key").limit(k).select("_key", *features).collect()
     require(len(rows) == k, f"fewer than {k} rows", NotEnoughSamples)
     return np.array([r[1:] for r in rows], float)
 
@@ -128,7 +127,7 @@ def initial(df: DataFrame, features: Sequence[str], k: int, method: str, seed: i
     turn = 0
     cols = vec.columns(features)
     while len(c) < wanted and turn < wanted + rounds:
-        rows_now = df.select(*[x.alias(f) for x, f in zip(cols, features)]).dropna()
+        rows_now = complete(df, features)
         far = with_numbers(rows_now, list(features), lambda x, c=c: _distances(x, c, metric).min(axis=1), ["_far"]).filter("_far > 0")
         key = -F.log(uniform(seed + 1 + turn, *cols)) / F.col("_far")
         rows = far.withColumn("_key", key).orderBy("_key").limit(each).select(*features).collect()
@@ -151,7 +150,7 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int, runs: int = 10, toler
     before the last update; the counts are of the kept run.
     """
     _check_kmeans(k, runs, tolerance, iterations)
-    rows = df.select(*[c.alias(f) for c, f in zip(vec.columns(features), features)]).dropna()
+    rows = complete(df, features)
     n = rows.count()
     require(n > 0, "no rows", NotEnoughSamples)
     best = None
@@ -233,7 +232,7 @@ def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int, tolerance:
     require(k > 0 and runs > 0 and iterations > 0, "counts are positive")
     require(tolerance > 0 and reg >= 0, "tolerances are positive")
     require(init in ("kmeans", "random"), f"no such start: {init}")
-    rows = df.select(*[c.alias(f) for c, f in zip(vec.columns(features), features)]).dropna()
+    rows = complete(df, features)
     n, d = rows.count(), len(features)
     require(n > 0, "no rows", NotEnoughSamples)
     if init == "kmeans":
@@ -415,7 +414,7 @@ def optics(points: DataFrame, min_points: int, tolerance: float = math.inf, id_c
         return pd.DataFrame({"position": np.arange(m), "id": ids[out], "reachability": reach[out], "core_distance": core[out]})
 
     schema = f"position bigint, id {kind}, reachability double, core_distance double"
-    found = base.groupBy(F.lit(0)).applyInPandas(order, schema)
+    found = base.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(order, schema)
     return found.withColumns({c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in ("reachability", "core_distance")})
 
 

@@ -79,6 +79,19 @@ def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
     return Moments(tuple(columns), float(n), centre + s / n, s2 - np.outer(s, s) / n)
 
 
+def complete(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The features alone, as doubles, without rows that lack any or hold NaN.
+
+    One condition a column: a single one over many columns would make the
+    optimizer try every mixture of their aliases.
+    """
+    keep = None
+    for c in vec.columns(features):
+        ok = c.isNotNull() & ~F.isnan(c)
+        keep = ok if keep is None else keep & ok
+    return df.filter(keep).select(*[c.alias(f) for c, f in zip(vec.columns(features), features)])
+
+
 #: Rows that numpy looks at together.
 _BATCH = 4096
 

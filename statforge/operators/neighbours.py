@@ -97,7 +97,7 @@ def each_against_all(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, p
     m = left.count()
     rows, cols = max(1, -(-m // block)), max(1, -(-n // block))
     a = left.withColumn("_i", F.pmod(F.xxhash64("id"), F.lit(rows))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    b = right.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("bigint"))
+    b = right.withColumn("_j", F.pmod(F.xxhash64("id"), F.lit(cols)).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rows - 1).cast("bigint"))))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         return f(x.drop_columns(["_i", "_j"]), y.drop_columns(["_i", "_j"]))

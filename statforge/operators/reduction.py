@@ -434,7 +434,7 @@ def tsne(df: DataFrame, size: int = 2, perplexity: float = 5.0, theta: float = 0
         return pa.table({"id": table.column("id").take(pa.array(order)), **{f"t{k}": y[:, k] for k in range(size)}})
 
     schema = f"id {kind}, " + ", ".join(f"t{k} double" for k in range(size))
-    return base.groupBy(F.lit(0)).applyInArrow(run, schema)
+    return base.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(run, schema)
 
 
 def embedded(x: np.ndarray, size: int, perplexity: float, theta: float, iterations: int, seed: int) -> np.ndarray:

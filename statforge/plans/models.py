@@ -147,7 +147,7 @@ def kmeans_incremental_step(spark, sf_dir):
 @BOOK.add("kmeans")
 def kmeans(spark, sf_dir):
     df = embedded(spark, sf_dir)
-    return clusters.kmeans(df, dims(64), 10, runs=2, init="parallel", tolerance=1e-3).predict(df, "cluster").select("vec_id", "cluster")
+    return clusters.kmeans(df, dims(64), 10, runs=1, init="parallel", tolerance=1e-2).predict(df, "cluster").select("vec_id", "cluster")
 
 
 @BOOK.add("kmeans_plus_plus")
@@ -159,7 +159,7 @@ def kmeans_plus_plus(spark, sf_dir):
 def gaussian_mixture(spark, sf_dir):
     df = embedded(spark, sf_dir, 8)
     try:
-        model = clusters.gaussian_mixture(df, _PART, 4)
+        model = clusters.gaussian_mixture(df, _PART, 4, iterations=30)
     except NotConverged as e:
         model = e.model
     return model.predict(df, "cluster").select("vec_id", "cluster")

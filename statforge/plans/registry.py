@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import data, models
+from .common import Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return data.BOOK.queries | models.BOOK.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return data.BOOK.sql | models.BOOK.sql

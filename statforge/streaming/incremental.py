@@ -107,6 +107,10 @@ def fit_stream(stream: DataFrame, name: str, fit: Callable[[DataFrame, M | None]
 
 
 def parquet_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream; its schema is read from the files at hand."""
+    """Parquet files - a folder of them, or one file - as a stream; the schema is that of the files at hand."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
