@@ -41,13 +41,18 @@ def ngrams(words: Column, least: int = 1, most: int = 1) -> Column:
     require(0 < least <= most, "n-gram lengths must be positive and in order")
     if (least, most) == (1, 1):
         return words
-    size = F.size(words)
+    none = F.array().cast("array<string>")
 
-    def at(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(least), F.least(F.lit(most), size - i)), lambda n: F.concat_ws(" ", F.slice(words, i + 1, n)))
+    def grams(own: Column) -> Column:
+        size = F.size(own)
 
-    none = F.array().cast("array<string>")
-    return F.when(size < least, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), size - least), at)))
+        def at(i: Column) -> Column:
+            return F.transform(F.sequence(F.lit(least), F.least(F.lit(most), size - i)), lambda n: F.concat_ws(" ", F.slice(own, i + 1, n)))
+
+        return F.when(size < least, none).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), size - least), at)))
+
+    # bound to a variable, the words are found once and not once an n-gram
+    return F.transform(F.array(words), grams)[0]
 
 
 def tokens_by(function: Callable[[str], list[str]]) -> Callable[[Column], Column]:
