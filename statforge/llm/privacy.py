@@ -10,8 +10,15 @@ without fixed points.  Separators, widths, letter case and check digits stay
 valid, a text keeps its length, and equal values get equal pseudonyms in all
 documents, whatever separators they are written with.
 
+Cards and IBANs are also found where other numbers or words stand next to them:
+any whole digit groups that make a valid card are one, as is an IBAN that ends
+at any blank.  Where digits could be read in several ways, a pseudonym is
+stepped on until it is read in the same way; there alone, equal values may get
+different pseudonyms.
+
 Results: null and empty texts stay as they are, as do values that fail their
-validation.  ``reveal`` undoes ``conceal`` for the same key.
+validation.  ``reveal`` undoes ``conceal`` for the same key, but perhaps in
+long runs of numbers of which no reading like the first is found.
 """
 
 from __future__ import annotations
@@ -225,27 +232,147 @@ _KINDS: list[tuple[str, str, Callable[[Feistel, str, bool], str]]] = [
 ]
 _KINDS = [(k, p.replace(r"([ .\-])", r"(?P<mark>[ .\-])").replace(r"\g<mark>", "(?P=mark)"), g) for k, p, g in _KINDS]
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in _KINDS))
+_FIND_OTHER = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in _KINDS if k != "card"))
 _ACT = {k: g for k, _, g in _KINDS}
 _ALONE = re.compile(r"[0-9]{13,19}")
+_RUN = re.compile(r"[0-9](?:[ \-]?[0-9])*")
+_GROUP = re.compile(r"[0-9]+")
+#: How cards are grouped in print; any other grouping comes after these and the other kinds.
+_PRINTED = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+_IBAN_SIZE = {k: int(n) for k, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 "
+    "GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 "
+    "MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 "
+    "TN:24 TR:26 UA:29 VA:22 VG:24 XK:20").split())}
+#: Steps of the walk that looks for a text read like the one it stands for.
+_WALK = 500
+
+Span = tuple[int, int, str]
+
+
+def _cards(text: str, start: int, stop: int, printed: bool) -> list[Span]:
+    """Valid cards of whole digit groups, apart from each other: those in printed groupings, or all, the longest first."""
+    groups = [m.span() for m in _GROUP.finditer(text, start, stop)]
+    found = []
+    for i, (low, _) in enumerate(groups):
+        n, shape = 0, ()
+        for s, e in groups[i:]:
+            n, shape = n + e - s, (*shape, e - s)
+            if n > 19:
+                break
+            if n >= 13 and (not printed or shape in _PRINTED) and text[low] != "0" and not luhn(_digits(text[low:e])):
+                found.append((-n, low, e))
+    out: list[Span] = []
+    for _, low, e in sorted(found):
+        if all(e <= s or low >= t for s, t, _ in out):
+            out.append((low, e, "card"))
+    return sorted(out)
+
+
+def _between(spans: list[Span], start: int, stop: int) -> Iterator[tuple[int, int]]:
+    for s, e, _ in spans:
+        yield start, s
+        start = e
+    yield start, stop
+
+
+def _in_run(text: str, start: int, stop: int) -> list[Span]:
+    """Values in a run of digit groups: cards in printed groupings, other kinds, then cards however grouped."""
+    spans = _cards(text, start, stop, True)
+    others = [(m.start(), m.end(), _kind(m)) for low, high in _between(spans, start, stop) for m in _FIND_OTHER.finditer(text, low, high)]
+    spans = sorted(spans + others)
+    return sorted(spans + [x for low, high in _between(spans, start, stop) for x in _cards(text, low, high, False)])
+
+
+def _iban_end(m: re.Match) -> int:
+    """Where the IBAN that a match begins with ends, or -1: at its country's length or else at any blank, the longest first."""
+    s = m.group()
+    ends = sorted({i for i, c in enumerate(s) if c == " "} | {len(s)}, reverse=True)
+    size = _IBAN_SIZE.get(s[:2])
+    for end in sorted(ends, key=lambda e: e - s.count(" ", 0, e) != size):
+        tight = s[:end].replace(" ", "")
+        if 15 <= len(tight) <= 34 and _mod97(tight) == 1:
+            return m.start() + end
+    return -1
+
+
+def _kind(m: re.Match) -> str:
+    return "phone" if m.lastgroup == "mark" else m.lastgroup
+
+
+def _spans(text: str, start: int, stop: int) -> tuple[list[Span], list[tuple[int, int]]]:
+    """The values in a stretch, and the parts of it where other digits could have been read otherwise."""
+    out, unsure, at = [], [], start
+    while m := _FIND.search(text, at, stop):
+        kind, at = _kind(m), m.end()
+        if kind == "card":
+            at = _RUN.match(text, m.start(), stop).end()
+            found = _in_run(text, m.start(), at)
+            if [x[:2] for x in found] != [m.span()] or at != m.end():
+                unsure.append((m.start(), at))
+            out += found
+        elif kind == "iban":
+            end = _iban_end(m)
+            if end != m.end():
+                unsure.append(m.span())
+            if end >= 0:
+                out.append((m.start(), end, "iban"))
+                at = end
+            else:  # neighbours may have been read as one number
+                at = m.start() + len(m.group().split(" ")[0])
+                out += [(k.start(), k.end(), "card") for k in _ALONE.finditer(text, m.start(), at) if not luhn(k.group()) and k.group()[0] != "0"]
+        else:
+            out.append((m.start(), m.end(), kind))
+    return out, unsure
 
 
 def _swapped(f: Feistel, text: str, back: bool) -> str:
-    def new(m: re.Match) -> str:
-        s, kind = m.group(), m.lastgroup
-        if kind == "mark":
-            kind = "phone"
-        got = _ACT[kind](f, s, back)
-        if got == s and kind in ("card", "iban"):  # neighbours may have been read as one number
-            got = _ALONE.sub(lambda k: _card(f, k.group(), back), s)
-        return got
+    """``text`` with its values swapped.
 
+    Digits that could be read in several ways must be read in the same way
+    afterwards, else ``reveal`` would take other digits for the value: there,
+    all values of the stretch step on along their permutations until they are.
+    """
     out, done = [], 0
     for start, end in _islands(text):
-        out += [text[done:start], _FIND.sub(new, text[start:end])]
-        done = end
+        out.append(text[done:start])
+        island, done = text[start:end], end
+        pad = text[max(0, start - 4) : start]  # what stands before decides, too
+        spans, unsure = _spans(pad + island, len(pad), len(pad) + len(island))
+        out.append(_stepped(f, pad + island, spans, unsure, back)[len(pad) :])
     return "".join(out) + text[done:] if out else text
 
 
+def _stepped(f: Feistel, text: str, spans: list[Span], unsure: list[tuple[int, int]], back: bool) -> str:
+    def step(t: str, which: list[Span]) -> str:
+        new, at = [], 0
+        for s, e, kind in which:
+            new += [t[at:s], _ACT[kind](f, t[s:e], back)]
+            at = e
+        return "".join(new) + t[at:]
+
+    parts: list[tuple[int, int, list[Span]]] = []
+    for low, high in sorted(unsure):
+        if parts and low < parts[-1][1]:
+            low, high = parts[-1][0], max(high, parts.pop()[1])
+        own = [x for x in spans if low <= x[0] < high]
+        parts.append((low, max([high, *(e for _, e, _ in own)]), own))
+    held = {x for _, _, own in parts for x in own}
+    text = step(text, [x for x in spans if x not in held])
+    for low, high, own in parts:
+        if not own:
+            continue
+        first = new = step(text, own)
+        for _ in range(_WALK):
+            if new != text and _spans(new, low, high)[0] == own:
+                break
+            new = step(new, own)
+        else:
+            new = first
+        text = new
+    return text
+
+
 _SIGN = re.compile(r"[0-9@]|[=:]\s?[\"']")
 _NONBLANK = re.compile(r"\S*")
 #: No value reaches further than this from a digit or at sign in it, but for runs without blanks.

@@ -75,3 +75,30 @@ def test_rows(odd, empty, make):
     assert got.columns == df.columns
     assert sorted(str(r.text) for r in got.collect()) == sorted([conceal(f"see {v}") for v in VALUES] + ["None"])
     assert {r.score for r in got.collect()} == {"x"}
+
+
+CARDS = ("4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0000 0000 0004", "3782 822463 10005", "4785380592391139", "4785 3805923 91139")
+IBANS = ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947")
+
+
+def test_neighbours_hide_no_value():
+    around = ["{} 12/26", "{} 123", "item 7 {}", "7 {} 12", "{} 12/26/2025 x", "12-{}", "1234 {}", "no 99 {} 2031 4", "{} 1234567"]
+    for text in [a.format(c) for c in CARDS for a in around]:
+        new = conceal(text)
+        assert not any(c in new for c in CARDS) and len(new) == len(text), (text, new)
+        assert reveal(new) == text
+    for v in IBANS:
+        for a in ("{} BIC", "{} EUR", "{} BANK", "{} BICCODE now", "AB12 {} x", "{} 123", "{} EUR 4111 1111 1111 1111 12"):
+            new = conceal(a.format(v))
+            assert v not in new and "4111 1111" not in new and reveal(new) == a.format(v), (a, v, new)
+    assert conceal("ES91 2100 0418 4502 0005 1332 BIC") == conceal(IBANS[0]) + " BIC"
+    new = conceal("ref 1234 743-555-3824, 7 1999-12-31 12345")
+    assert "743-555-3824" not in new and "1999-12-31" not in new
+
+
+def test_runs_of_numbers_come_back():
+    rnd = random.Random(5)
+    for _ in range(300):
+        text = " ".join(str(rnd.randrange(10 ** rnd.randrange(1, 7))) for _ in range(rnd.randrange(3, 9)))
+        assert reveal(conceal(text)) == text
+    conceal("12345 " * 3000)
