@@ -88,6 +88,15 @@ class Builder:
                 return False
         return False
 
+    def _back_to_table(self) -> None:
+        """Leave what was put before the innermost table, if no cell or the like is open in it."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[i].tag
+            if tag in ("table", "tbody", "thead", "tfoot", "tr"):
+                del self.stack[i + 1 :]
+            if tag in _SCOPE or tag in _TABLE_PARTS:
+                return
+
     def _push(self, node: Node) -> None:
         self.top().children.append(node)
         self.stack.append(node)
@@ -99,6 +108,9 @@ class Builder:
                     return
                 self._enter_body()
         at = self.top()
+        if at.tag == "colgroup" and data.strip():
+            self.stack.pop()
+            at = self.top()
         if at.tag in ("table", "tbody", "thead", "tfoot", "tr") and data.strip():
             self._foster(data)
             return
@@ -130,6 +142,12 @@ class Builder:
         elif self.body is None and self.head is None:
             self.head = Node("head")
             self._push(self.head)
+        if self.top().tag == "colgroup" and tag not in ("col", "template"):
+            self.stack.pop()
+        if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "colgroup", "col"):
+            self._close("caption", within=frozenset({"table", "td", "th"}))
+        if tag in _TABLE_PARTS:
+            self._back_to_table()
         if tag in CLOSES_P:
             self._close("p")
         if tag == "li":
@@ -168,7 +186,8 @@ class Builder:
             if tag not in VOID:
                 self.stack.append(node)
             return
-        if tag in VOID or closed and tag in ("svg", "math", "path"):
+        formed = tag == "form" and self.top().tag in ("table", "tbody", "thead", "tfoot", "tr")  # it stands there empty
+        if tag in VOID or formed or closed and tag in ("svg", "math", "path"):
             self.top().children.append(node)
         else:
             self._push(node)
@@ -339,10 +358,15 @@ class Renderer:
     def _table(self, n: Node) -> None:
         rows: list[list[tuple[list[str], int]]] = []
         captions: list[Node] = []
+        loose: list[Node | str] = []  # what has no place in a table is rendered before it
         todo = list(reversed(n.children))
         while todo:
             c = todo.pop()
-            if isinstance(c, str) or self.hidden(c):
+            if isinstance(c, str):
+                if c.strip():
+                    loose.append(c)
+                continue
+            if self.hidden(c):
                 continue
             if c.tag in ("tbody", "thead", "tfoot"):
                 todo += reversed(c.children)
@@ -351,13 +375,21 @@ class Renderer:
             elif c.tag == "tr":
                 row = []
                 for cell in c.children:
-                    if isinstance(cell, Node) and cell.tag in ("td", "th") and not self.hidden(cell):
+                    if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                        if not isinstance(cell, str) or cell.strip():
+                            loose.append(cell)
+                    elif not self.hidden(cell):
                         inner = Renderer(self.depth + 1)
                         inner.walk_all(cell.children)
                         span = cell.attrs.get("colspan", "1")
                         row.append((inner.finish(), min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,5}", span) else 1))
                 rows.append(row)
+            else:
+                loose.append(c)
         self.brk(1)
+        if loose:
+            self.walk_all(loose)
+            self.brk(1)
         for c in captions:
             self.walk_all(c.children)
             self.brk()

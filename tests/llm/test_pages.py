@@ -73,3 +73,24 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, "c"), (2, "", "c"), (2, "<p>a", "c"), (None, "b", "c")], "page_id long, html string, text string")
     assert sorted(map(str, (tuple(r) for r in page_texts(df).collect()))) == sorted(map(str, [(1, None), (2, ""), (2, "a"), (None, "b")]))
     assert page_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><form><tr><td>x</td></tr></form></table>", "x"),
+        ("<table><form action=a><tr><td>x<td>y</form><tr><td>z<td>w</table>after", "x | y\nz | w\n\nafter"),
+        ("<table><tbody><form><tr><td>x</table>", "x"),
+        ("<table><tr><form><td>x<td>y</form></table>", "x | y"),
+        ("<form><table><form><tr><td>x</td></tr></form></table>y</form>z", "x\n\ny\nz"),
+        ("<table><colgroup><col><tr><td>x</table>", "x"),
+        ("<table><colgroup><col><col><td>x<td>y</table>", "x | y"),
+        ("<table><colgroup><col><tbody><tr><td>x</table>", "x"),
+        ("<table><colgroup>stray<p>too<tr><td>x</table>", "stray\n\ntoo\n\nx"),
+        ("<table><div>stray<tr><td>x<td>y</table>", "stray\n\nx | y"),
+        ("<table><caption>C<tr><td>x<td>y</table>", "C\nx | y"),
+        ("<table><colgroup><form><tr><td>x</table>", "x"),
+    ],
+)
+def test_forms_and_open_colgroups_in_tables(page, text):
+    assert visible_text(page) == text
