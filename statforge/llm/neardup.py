@@ -136,28 +136,30 @@ def near_pairs(
     matches: int = MATCHES,
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b.
+    """(doc_a, doc_b, matches), doc_a < doc_b: all pairs, those of equal signatures included.
 
-    Documents of equal signatures appear as pairs with the smallest id among
-    them, and pairs of different signatures as the pair of their smallest ids;
-    with equal signatures expanded this is the full relation.
+    n documents of one signature give n * (n - 1) / 2 rows, so the result grows
+    with the square of a group of copies.
     """
     docs = written(signed(df, id_col, text_col, coordinates, shingle), "signatures")
     units = written(_units(docs), "units")
     pairs = unit_pairs(units.select("unit", "sig"), coordinates, matches)
-    rep = units.select("unit", "rep").filter("rep is not null")
+    known = docs.filter("unit is not null and doc_id is not null").select("unit", "doc_id").distinct()
+    # an id of several texts may meet another in several units, and then counts once
+    members = written(known.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > 1), "members")
+    x, y = (members.select(F.col("unit").alias(u), F.col("doc_id").alias(i), F.col("several").alias(f"several_{u}")) for u, i in (("a", "x"), ("b", "y")))
+    both = pairs.unionByName(members.groupBy("unit").count().filter("count > 1").select(F.col("unit").alias("a"), F.col("unit").alias("b"), F.lit(coordinates).alias("matches")))
     named = (
-        pairs.join(rep.select(F.col("unit").alias("a"), F.col("rep").alias("ra")), "a")
-        .join(rep.select(F.col("unit").alias("b"), F.col("rep").alias("rb")), "b")
-        .select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "matches")
+        both.join(x, "a")
+        .join(y, "b")
+        .filter("x < y or a != b and x > y")
+        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "matches", (F.col("several_a") | F.col("several_b")).alias("several"))
     )
-    same = (
-        docs.filter("unit is not null and doc_id is not null")
-        .select("unit", "doc_id")
-        .withColumn("rep", F.min("doc_id").over(Window.partitionBy("unit")))
-        .select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(coordinates).alias("matches"))
-    )
-    return named.unionByName(same).filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    if not members.filter("several").limit(1).count():
+        return named.drop("several")
+    named = written(named, "named")
+    again = named.filter("several").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    return named.filter("not several").drop("several").unionByName(again)
 
 
 def components(pairs: DataFrame) -> DataFrame:

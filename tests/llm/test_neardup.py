@@ -69,6 +69,22 @@ def test_pairs_equal_brute_force(make):
     assert len(want) > 50
 
 
+def test_every_pair_of_copies_is_given(make):
+    base = [f"w{i}" for i in range(80)]
+    text, near = " ".join(base), " ".join(base[:-1] + ["other"])
+    rows = [(i, text) for i in (1, 2, 3)] + [(4, near), (5, near), (6, "something else entirely")] + corpus(5)[100:]
+    got = {(p.doc_a, p.doc_b): p.matches for p in near_pairs(make(rows)).collect()}
+    assert got == brute(rows) and {(2, 3), (2, 4), (3, 5), (4, 5)} <= set(got)
+    assert near_pairs(make([(i, text) for i in range(60)])).count() == 60 * 59 // 2
+
+
+def test_an_id_of_several_texts_meets_another_once(make):
+    base = [f"w{i}" for i in range(80)]
+    text, near = " ".join(base), " ".join(base[:-1] + ["other"])
+    got = near_pairs(make([(1, text), (1, near), (2, text), (2, near), (2, near), (None, text), (3, None)])).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 64)]
+
+
 def test_small_tiles(make, monkeypatch):
     from statforge.llm import neardup
 
