@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statforge.sources.shipping import ship
+
 from .tables import written
 
 #: Sizes to this power are the default targets: small sources gain, large ones lose.
@@ -28,7 +31,7 @@ TEMPERATURE = 0.5
 SEED = 11
 #: Up to this many sources their rates are broadcast; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
-#: The greatest mean that is inverted as one distribution; what exceeds it is replicated whole.
+#: Means below this are inverted from count 0 up, all others around their mode. OP6_SQL has the exact counts only below it.
 WHOLE = 16.0
 _TERMS = 80
 
@@ -58,6 +61,16 @@ def fraction(hexed: F.Column) -> F.Column:
     return (F.conv(F.substring(hexed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
 
 
+def around_mode(mean: float) -> tuple[int, list[float]]:
+    """(k, P(count <= k), P(count <= k + 1), ...) of a large mean, over all counts within 12 deviations of it."""
+    mode, reach = math.floor(mean), math.ceil(12 * math.sqrt(mean))
+    start = max(0, mode - reach)
+    up = np.cumprod(mean / np.arange(mode + 1, mode + reach + 1))
+    down = np.cumprod(np.arange(mode, start, -1) / mean)
+    p = np.concatenate([down[::-1], [1.0], up])
+    return start, (p.cumsum() / p.sum()).tolist()
+
+
 def mixed(
     df: DataFrame,
     targets: dict[str, float] | None = None,
@@ -69,14 +82,20 @@ def mixed(
 ) -> DataFrame:
     """The replicated documents in shuffled order, with columns ``df``'s, ``_copy`` (from 1) and ``_order``."""
     per_source = rates(df, targets, temperature, source_col, text_col)
-    # P(count <= k) for k = 0, 1, ... of the part of the mean below WHOLE
-    low = F.col("rate") - F.floor(F.col("rate") / WHOLE) * WHOLE
+    # P(count <= k) for k = 0, 1, ..., or from some k on for large means
+    low = F.col("rate")
     term = "exp(-low)"
     steps = F.expr(
         f"aggregate(sequence(1, {_TERMS}), named_struct('p', {term}, 'c', {term}, 'all', array({term})), "
         "(s, k) -> named_struct('p', s.p * low / k, 'c', s.c + s.p * low / k, 'all', array_append(s.all, s.c + s.p * low / k)), s -> s.all)"
     )
-    table = per_source.withColumn("low", low).select(F.col("source").alias("_src"), (F.floor(F.col("rate") / WHOLE) * WHOLE).cast("bigint").alias("_whole"), steps.alias("_cdf"))
+    ship(df.sparkSession)
+    large = F.udf(lambda mean: around_mode(mean) if mean >= WHOLE else None, "start bigint, cdf array<double>")
+    table = (
+        per_source.withColumn("low", low)
+        .withColumn("large", large("rate"))
+        .select(F.col("source").alias("_src"), F.coalesce("large.start", F.lit(0).cast("bigint")).alias("_whole"), F.when(F.col("rate") < WHOLE, steps).otherwise(F.col("large.cdf")).alias("_cdf"))
+    )
     table = written(table, "rates")
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
@@ -97,12 +116,13 @@ def mixed(
 
 def poisson_count(u: float, mean: float) -> int:
     """The inverse of the distribution, for tests."""
-    whole = math.floor(mean / WHOLE) * WHOLE
-    low = mean - whole
-    k, p = 0, math.exp(-low)
+    if mean >= WHOLE:
+        start, cdf = around_mode(mean)
+        return start + sum(c < u for c in cdf)
+    k, p = 0, math.exp(-mean)
     c = p
     while c < u and k < _TERMS + 1:
         k += 1
-        p *= low / k
+        p *= mean / k
         c += p
-    return int(whole) + k
+    return k

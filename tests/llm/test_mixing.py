@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter
 
 import pytest
@@ -50,6 +51,28 @@ def test_large_means(make):
     assert got["rare"] == pytest.approx(5002, rel=0.05)
 
 
+def plain_count(u, mean):
+    """The inverse distribution, each term from its logarithm."""
+    k, c = 0, 0.0
+    while (c := c + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))) < u and k < 20 * mean + 100:
+        k += 1
+    return k
+
+
+def test_large_means_are_drawn_whole(make):
+    for mean in (15.9, 16.0, 17.3, 32.0, 100.0, 700.0, 5000.5):
+        for u in (1e-9, 0.001, 0.1, 0.5, 0.77, 0.999, 1 - 1e-9):
+            assert mixing.poisson_count(u, mean) == plain_count(u, mean), (u, mean)
+    rows = [(i, "x", "rare") for i in range(300)] + [(1000 + i, "y" * 96, "rest") for i in range(100)]
+    # 300 documents of 1 letter beside 9600 letters: 16.5 copies of each, or 32
+    for share in (0.5, 32 * 300 / 9900):
+        got = Counter(r.doc_id for r in mixing.mixed(make(rows), {"rare": share, "rest": 1 - share}).filter("source = 'rare'").select("doc_id").collect())
+        n = [got[i] for i in range(300)]
+        mean = sum(n) / 300
+        assert mean == pytest.approx(share * 33, rel=0.06)
+        assert sum((x - mean) ** 2 for x in n) / 299 == pytest.approx(mean, rel=0.3)
+
+
 def test_odd_rows(odd, empty):
     got = mixing.mixed(odd)
     assert got.columns == odd.columns + ["_copy", "_order"]
