@@ -11,8 +11,9 @@ enough frames overlap there and the share of differing bits is small.
 
 Candidates come from an inverted index of integers.  A recording's integers
 are posted rarest first, and only so many of them that a pair with
-``VOTES`` equal integers must meet in one (runs of one integer are one
-posting); a pair is then compared over all its integers.
+``VOTES`` equal integers must meet in one.  An integer's first, second, ...
+occurrence are postings of their own, so repeated ones count as often as both
+recordings hold them; a pair is then compared over all its integers.
 
 Results: null, empty or too short recordings have an empty fingerprint and
 align with nothing.  Repeated rows align with each other if their ids differ.
@@ -41,6 +42,7 @@ LEVELS = (-0.12, 0.0, 0.12)
 VOTES = 12
 LEAST_OVERLAP = 24
 MOST_ERRORS = 0.2
+_MEETINGS = 1 << 20
 
 
 def chroma(signal: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -131,11 +133,19 @@ def compare(a: np.ndarray, b: np.ndarray, votes: int = VOTES, least: int = LEAST
     order = np.argsort(b, kind="stable")
     low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
     n = high - low
-    at = np.repeat(np.arange(len(a)), n)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-    offset, count = np.unique(order[np.repeat(low, n) + nth] - at, return_counts=True)
-    if not len(count) or count.max() < votes:
+    upto = np.cumsum(n)
+    count = np.zeros(len(a) + len(b), np.int64)  # by offset + len(a)
+    i = 0
+    while i < len(a):  # repeated integers meet as often as the product of their numbers: some at a time
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _MEETINGS)))
+        m = n[i:j]
+        at = np.repeat(np.arange(i, j), m)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+        count += np.bincount(order[np.repeat(low[i:j], m) + nth] - at + len(a), minlength=len(count))
+        i = j
+    if count.max(initial=0) < votes or not count.any():
         return None
+    offset = np.arange(len(count)) - len(a)
     best = int(min(offset[count == count.max()], key=lambda o: (abs(o), o)))
     start, stop = max(0, -best), min(len(a), len(b) - best)
     if stop - start < least:
@@ -145,16 +155,31 @@ def compare(a: np.ndarray, b: np.ndarray, votes: int = VOTES, least: int = LEAST
     return (best, stop - start, share) if share <= most else None
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rec_id, value): each integer with the number of its occurrence in the lower half."""
+    for batch in batches:
+        lists = batch.column("prints")
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((flat, row))
+        row, flat = row[order], flat[order]
+        first = np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])[: len(flat)]
+        nth = np.arange(len(flat)) - np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))
+        yield pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(row)), pa.array((flat << 32) | nth)], names=["rec_id", "value"])
+
+
 def aligned(prints: DataFrame, votes: int = VOTES, least: int = LEAST_OVERLAP, most: float = MOST_ERRORS) -> DataFrame:
     """(rec_a, rec_b, offset, overlap, bit_errors), rec_a < rec_b, from (rec_id, prints).
 
-    A pair is a candidate if it shares at least ``votes`` different integers;
-    that is exact: each recording posts all but its votes - 1 commonest shared
-    integers, the rarest first.
+    A pair is a candidate if it may share ``votes`` integers, counted as often as
+    both hold them; that is exact, as the votes of one offset pair each integer
+    once: each recording posts all but its votes - 1 commonest shared
+    occurrences, the rarest first.
     """
     prints = prints.filter("rec_id is not null and size(prints) > 0")
     id_type = prints.schema["rec_id"].dataType.simpleString()
-    posted = prints.select("rec_id", F.explode(F.array_distinct("prints")).alias("value")).distinct()
+    numbered = prints.select("rec_id", "prints").mapInArrow(_occurrences, f"rec_id {id_type}, value bigint")
+    posted = numbered.distinct()
     lists = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("rec_id").alias("leader")).filter("df > 1")
     own = Window.partitionBy("rec_id")
     kept = (

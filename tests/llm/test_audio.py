@@ -40,6 +40,24 @@ def test_alignment_equals_brute_force(spark):
     assert got[0, 1][0] == -40
 
 
+def test_repeated_integers_align_like_brute_force(spark):
+    held = np.sin(2 * np.pi * 440 * np.arange(30000) / audio.RATE) * 8000
+    loop = np.tile(tune(3, 4), 12)
+    rows = recordings() + [(504, pcm(np.zeros(40000))), (505, pcm(np.zeros(30000))), (506, pcm(held)), (507, pcm(held)), (508, pcm(loop)), (509, pcm(loop[audio.HOP * 8 :]))]
+    df = spark.createDataFrame(rows, "rec_id long, audio binary")
+    got = {(r.rec_a, r.rec_b): (r.offset, r.overlap, r.bit_errors) for r in audio.aligned(audio.fingerprints(df, "rec_id", "audio")).collect()}
+    data = {i: prints_of(a) for i, a in rows}
+    assert got == {(a, b): m for a in data for b in data if a < b and len(data[a]) and len(data[b]) and (m := audio.compare(data[a], data[b]))}
+    assert {(503, 504), (503, 505), (504, 505), (506, 507), (508, 509)} <= set(got) and got[503, 504][0] == 0
+
+
+def test_meetings_in_parts_count_alike(monkeypatch):
+    a, b = prints_of(pcm(tune(1))), prints_of(pcm(tune(1), 300))
+    whole = audio.compare(a, b)
+    monkeypatch.setattr(audio, "_MEETINGS", 7)
+    assert whole and audio.compare(a, b) == whole and audio.compare(a, a)[0] == 0
+
+
 def test_integral_image_equals_plain_sums():
     c = audio.chroma(tune(3, 30) / 32768)
     assert np.allclose(np.linalg.norm(c, axis=1), 1)
