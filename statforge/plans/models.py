@@ -249,7 +249,7 @@ def multi_task_elastic_net(spark, sf_dir):
 
 @BOOK.add("lars")
 def lars(spark, sf_dir):
-    m = linear.lars(embedded(spark, sf_dir, 8), _PART[1:], "e0")
+    m = linear.lars(embedded(spark, sf_dir), dims(64)[1:], "e0")
     return listed(spark, [(s, f, m.path[i, s]) for s in range(m.path.shape[1]) for i, f in enumerate(m.features)], "step int, feature string, weight double")
 
 
@@ -329,8 +329,8 @@ def gaussian_nb(spark, sf_dir):
 
 @BOOK.add("naive_bayes_proba")
 def naive_bayes_proba(spark, sf_dir):
-    df = embedded(spark, sf_dir, 8)
-    return bayes.gaussian_nb(df, _PART, "label").predict_proba(df).select("vec_id", "proba")
+    df = embedded(spark, sf_dir)
+    return bayes.gaussian_nb(df, dims(64), "label").predict_proba(df).select("vec_id", "proba")
 
 
 _COUNTS = "with r as (select l_returnflag as label, l_quantity as f0, l_discount * 100 as f1, l_tax * 100 as f2 from lineitem)"

@@ -305,3 +305,17 @@ def test_kernels_and_their_operations(spark):
     near = np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, 1:3]
     edges = {(i, int(j)) for i in range(25) for j in near[i]}
     assert sparse == edges | {(j, i) for i, j in edges} | {(i, i) for i in range(25)}
+
+
+def test_registered_fits_read_every_coordinate(spark):
+    from statforge.plans import models
+
+    d = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, label = np.array(df.embedding.tolist(), float), df.label.to_numpy()
+    classes = np.unique(label)
+    joint = np.stack([np.log((label == c).mean()) - 0.5 * (np.log(2 * np.pi * (v := x[label == c].var(axis=0) + 1e-9 * x.var(axis=0).max())) + (x - x[label == c].mean(axis=0)) ** 2 / v).sum(axis=1) for c in classes], axis=1)
+    p = np.exp(joint - joint.max(axis=1, keepdims=True))
+    got = np.array([list(r.proba) for r in models.BOOK.queries["naive_bayes_proba"](spark, d).orderBy("vec_id").collect()])
+    assert np.allclose(got, p / p.sum(axis=1, keepdims=True), atol=1e-4)
+    assert {f"e{i}" for i in range(1, 64)} <= {str(v) for r in models.BOOK.queries["lars"](spark, d).collect() for v in r}
