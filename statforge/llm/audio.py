@@ -9,15 +9,21 @@ Two recordings are aligned where their integers agree: equal integers vote for
 an offset, the best offset of the histogram is taken, and the pair is kept if
 enough frames overlap there and the share of differing bits is small.
 
-Candidates come from an inverted index of integers.  A recording's integers
-are posted rarest first, and only so many of them that a pair with
-``VOTES`` equal integers must meet in one.  An integer's first, second, ...
+Recordings of equal fingerprints are one class, and only its smallest id meets
+others.  Candidates come from an inverted index of integers.  A recording's
+integers are posted rarest first, and only so many of them that a pair with
+``VOTES`` equal integers must meet in one; an integer's first, second, ...
 occurrence are postings of their own, so repeated ones count as often as both
-recordings hold them; a pair is then compared over all its integers.
-
-Results: null, empty or too short recordings have an empty fingerprint and
-align with nothing.  Repeated rows align with each other if their ids differ.
-Silence gives frames without direction and one constant integer.
+recordings hold them.  Where recordings meet, all their equal integers are
+sorted once into (pair, offset) counts: a pair costs as much as the integers
+it shares, and only those with enough votes for one offset are aligned.
+
+Results: null, empty or too short recordings have an empty fingerprint, no
+class, and align with nothing.  Repeated rows are rows of one class; rows of
+one id and equal fingerprints count as one recording.  Very long recordings
+are compared whole.  Silence gives frames without direction and one constant
+integer.  Ties between offsets go to the smaller shift, then the negative one.
+An empty table gives an empty one; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neardup import components
 from .tables import only, written
 
 RATE, FRAME, HOP = 4000, 512, 256
@@ -43,6 +50,9 @@ VOTES = 12
 LEAST_OVERLAP = 24
 MOST_ERRORS = 0.2
 _MEETINGS = 1 << 20
+#: Recordings meet in tiles of about so many frames, and tiles are taken together up to about so many frames.
+TILE = 1 << 16
+_TOGETHER = 1 << 19
 
 
 def chroma(signal: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP) -> np.ndarray:
@@ -128,25 +138,40 @@ def fingerprints(df: DataFrame, id_col: str, audio_col: str, rate: int = RATE, d
     return rows.mapInArrow(run, f"rec_id {id_type}, prints array<int>")
 
 
-def compare(a: np.ndarray, b: np.ndarray, votes: int = VOTES, least: int = LEAST_OVERLAP, most: float = MOST_ERRORS) -> tuple[int, int, float] | None:
-    """(offset, overlap, share of differing bits) at the offset of most votes, or None; b[i + offset] answers a[i]."""
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal integers, sorted by value: values, starts and lengths."""
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(a)))
+    order = np.argsort(a[start], kind="stable")
+    return a[start][order], start[order], size[order]
+
+
+def histogram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Votes by offset + len(a); b[i + offset] answers a[i].
+
+    Two runs of one integer vote for a range of offsets in the shape of a
+    trapezoid, which four second differences describe: a held note costs one meeting.
+    """
+    (va, sa, na), (vb, sb, nb) = _runs(a), _runs(b)
+    low, high = np.searchsorted(vb, va, "left"), np.searchsorted(vb, va, "right")
     n = high - low
     upto = np.cumsum(n)
-    count = np.zeros(len(a) + len(b), np.int64)  # by offset + len(a)
+    bend = np.zeros(len(a) + len(b) + 3, np.int64)
     i = 0
-    while i < len(a):  # repeated integers meet as often as the product of their numbers: some at a time
+    while i < len(va):  # repeated integers meet as often as the product of their runs: some at a time
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _MEETINGS)))
         m = n[i:j]
         at = np.repeat(np.arange(i, j), m)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
-        count += np.bincount(order[np.repeat(low[i:j], m) + nth] - at + len(a), minlength=len(count))
+        to = np.repeat(low[i:j], m) + np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+        first = sb[to] - sa[at] - na[at] + 1 + len(a)
+        for place, sign in ((first, 1), (first + na[at], -1), (first + nb[to], -1), (first + na[at] + nb[to], 1)):
+            bend += sign * np.bincount(place, minlength=len(bend))
         i = j
-    if count.max(initial=0) < votes or not count.any():
-        return None
-    offset = np.arange(len(count)) - len(a)
-    best = int(min(offset[count == count.max()], key=lambda o: (abs(o), o)))
+    return bend.cumsum().cumsum()[: len(a) + len(b)]
+
+
+def measured(a: np.ndarray, b: np.ndarray, best: int, least: int, most: float) -> tuple[int, int, float] | None:
+    """(offset, overlap, share of differing bits) at one offset, or None."""
     start, stop = max(0, -best), min(len(a), len(b) - best)
     if stop - start < least:
         return None
@@ -155,84 +180,147 @@ def compare(a: np.ndarray, b: np.ndarray, votes: int = VOTES, least: int = LEAST
     return (best, stop - start, share) if share <= most else None
 
 
+def compare(a: np.ndarray, b: np.ndarray, votes: int = VOTES, least: int = LEAST_OVERLAP, most: float = MOST_ERRORS) -> tuple[int, int, float] | None:
+    """(offset, overlap, share of differing bits) at the offset of most votes, or None; b[i + offset] answers a[i]."""
+    count = histogram(a, b)
+    if count.max(initial=0) < max(votes, 1):
+        return None
+    offset = np.flatnonzero(count == count.max()) - len(a)
+    return measured(a, b, int(offset[np.lexsort((offset, abs(offset)))[0]]), least, most)
+
+
+def best_offsets(value: np.ndarray, frame: np.ndarray, rec: np.ndarray, side: np.ndarray, group: np.ndarray, votes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Pairs of recordings (a < b) with enough votes for one offset, the offset of most votes, and pairs to be compared by themselves.
+
+    The arrays hold one entry for each frame of each recording of each group.
+    Recordings (numbers, each of one group) of side 0 meet each other, those
+    of side 1 only those of side 2.
+    """
+    order = np.lexsort((frame, rec, side, value, group))
+    value, frame, rec, side, group = (x[order] for x in (value, frame, rec, side, group))
+    fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (group[1:] != group[:-1])])
+    own = fresh | np.concatenate([[True], rec[1:] != rec[:-1]])
+    turn = fresh | np.concatenate([[True], side[1:] != side[:-1]])
+
+    def ends(first: np.ndarray) -> np.ndarray:
+        """For each entry, where the next stretch begins."""
+        at = np.flatnonzero(first)
+        return np.repeat(np.append(at[1:], len(first)), np.diff(np.append(at, len(first))))
+
+    begin, end = np.where(side == 1, ends(turn), ends(own)), ends(fresh)
+    n = np.where(side == 2, 0, end - begin)
+    left = np.flatnonzero(n)
+    left = left[np.argsort(rec[left], kind="stable")]
+    upto = np.cumsum(n[left])
+    edge = np.append(np.flatnonzero(np.concatenate([[True], rec[left][1:] != rec[left][:-1]])), len(left)) if len(left) else np.zeros(1, np.int64)
+    span = 2 * int(frame.max(initial=0)) + 2
+    out, alone = [], []
+    i = 0
+    while i + 1 < len(edge):
+        done = upto[edge[i] - 1] if edge[i] else 0
+        j = max(i + 1, int(np.searchsorted(upto[edge[1:] - 1], done + _MEETINGS, "right")))
+        part = left[edge[i] : edge[j]]
+        if j == i + 1 and upto[edge[j] - 1] - done > 4 * _MEETINGS:  # one recording of many equal integers
+            met = np.unique(np.concatenate([rec[b:e] for b, e in set(zip(begin[part].tolist(), end[part].tolist()))]))
+            alone += [(int(rec[part[0]]), int(x)) for x in met]
+        else:
+            m = n[part]
+            at = np.repeat(part, m)
+            to = np.repeat(begin[part], m) + np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+            x, y, shift = rec[at], rec[to], frame[to] - frame[at]
+            swap = x > y
+            x, y, shift = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, -shift, shift)
+            base = int(x.min())
+            wide = int(y.max()) - base + 1
+            key = np.sort(((x - base) * wide + y - base) * span + shift + span // 2)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(first, len(key)))
+            ok = count >= votes
+            key, count = key[first[ok]], count[ok]
+            pair, offset = key // span, key % span - span // 2
+            best = np.lexsort((offset, abs(offset), -count, pair))
+            best = best[np.concatenate([[True], pair[best][1:] != pair[best][:-1]])] if len(best) else best
+            out.append(np.stack([pair[best] // wide + base, pair[best] % wide + base, offset[best]]))
+        i = j
+    found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    return found[0], found[1], found[2], alone
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rec_id, value): each integer with the number of its occurrence in the lower half."""
+    """(rec_id, frames, value): each integer with the number of its occurrence in the lower half."""
     for batch in batches:
         lists = batch.column("prints")
         flat = lists.flatten().to_numpy().astype(np.int64)
-        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        frames = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lists)), frames)
         order = np.lexsort((flat, row))
         row, flat = row[order], flat[order]
         first = np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])[: len(flat)]
         nth = np.arange(len(flat)) - np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))
-        yield pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(row)), pa.array((flat << 32) | nth)], names=["rec_id", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column("rec_id").take(pa.array(row)), pa.array(frames[row].astype(np.int32)), pa.array((flat << 32) | nth)], names=["rec_id", "frames", "value"])
 
 
 def aligned(prints: DataFrame, votes: int = VOTES, least: int = LEAST_OVERLAP, most: float = MOST_ERRORS) -> DataFrame:
-    """(rec_a, rec_b, offset, overlap, bit_errors), rec_a < rec_b, from (rec_id, prints).
+    """(rec_a, rec_b, offset, overlap, bit_errors), rec_a < rec_b, from (rec_id, prints): all pairs that align.
 
     A pair is a candidate if it may share ``votes`` integers, counted as often as
     both hold them; that is exact, as the votes of one offset pair each integer
     once: each recording posts all but its votes - 1 commonest shared
     occurrences, the rarest first.
     """
-    prints = prints.filter("rec_id is not null and size(prints) > 0")
+    prints = prints.filter("rec_id is not null and size(prints) > 0").select("rec_id", "prints")
     id_type = prints.schema["rec_id"].dataType.simpleString()
-    numbered = prints.select("rec_id", "prints").mapInArrow(_occurrences, f"rec_id {id_type}, value bigint")
+    numbered = prints.mapInArrow(_occurrences, f"rec_id {id_type}, frames int, value bigint")
     posted = numbered.distinct()
     lists = posted.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("rec_id").alias("leader")).filter("df > 1")
     own = Window.partitionBy("rec_id")
-    kept = (
+    kept = written(
         posted.join(lists, "value")
         .withColumn("shared", F.count(F.lit(1)).over(own))
         .withColumn("nth", F.row_number().over(own.orderBy("df", "value")))
         .filter(F.col("nth") <= F.col("shared") - (votes - 1))
-        .groupBy("rec_id", "leader")
-        .agg(F.collect_list("value").alias("values"))
+        .select("rec_id", "frames", "leader")
+        .distinct(),
+        "postings",
     )
-    tile = 512
-    size = F.count(F.lit(1)).over(Window.partitionBy("leader"))
+    size = kept.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("frames") / TILE).cast("int").alias("tiles")).filter("size > 1")
+    spread = kept.join(size, "leader")
+    frames = spread.agg(F.sum(F.col("frames").cast("bigint") * F.col("tiles"))).first()[0] or 0
+    together = max(1, -(-frames // _TOGETHER))
     tiled = (
-        kept.withColumn("size", size)
-        .filter("size > 1")
-        .withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("rec_id"), F.col("tiles")).cast("int"))
+        spread.drop("frames")
         .join(prints, "rec_id")
+        .withColumn("own", F.pmod(F.xxhash64("rec_id"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec_id", "prints", "values")
+        .select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec_id", "prints")
+        .select(F.pmod(F.xxhash64("leader", "i", "j"), F.lit(together)).alias("part"), F.xxhash64("leader", "i", "j").alias("tile"), F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2).alias("side"), "rec_id", "prints")
     )
 
     def verify(group: pa.Table) -> pa.Table:
-        ids = group.column("rec_id")
-        own_tile = group.column("own").to_numpy()
-        data = [np.array(p, np.int32) for p in group.column("prints").to_pylist()]
-        values = group.column("values").combine_chunks()
-        row = np.repeat(np.arange(len(ids)), np.diff(values.offsets.to_numpy()))
-        flat = values.flatten().to_numpy()
-        order = np.argsort(flat, kind="stable")
-        row, flat = row[order], flat[order]
-        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
-        meets = np.zeros((len(ids), len(ids)), bool)
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if e - s > 1:
-                meets[np.ix_(row[s:e], row[s:e])] = True
-        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-            meets &= own_tile[:, None] != own_tile[None, :]
+        group = group.sort_by([("tile", "ascending"), ("rec_id", "ascending")])
+        ids = group.column("rec_id").combine_chunks()
+        lists = group.column("prints").combine_chunks()
+        flat, edge = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        n = np.diff(edge)
+        rec = np.repeat(np.arange(len(n)), n)
+        frame = np.arange(len(flat)) - edge[:-1][rec]
+        a, b, offset, alone = best_offsets(flat, frame, rec, group.column("side").to_numpy()[rec], group.column("tile").to_numpy()[rec], votes)
         names = ids.to_pylist()
+        part = [flat[edge[k] : edge[k + 1]] for k in range(len(n))]
         out = []
-        for x, y in zip(*np.nonzero(np.triu(meets, 1))):
+        for x, y, o in [*zip(a.tolist(), b.tolist(), offset.tolist()), *((x, y, None) for x, y in alone)]:
             if names[x] == names[y]:
                 continue
-            a, b = (x, y) if names[x] < names[y] else (y, x)
-            got = compare(data[a], data[b], votes, least, most)
+            x, y = min(x, y), max(x, y)  # rows of a tile are sorted by id
+            got = compare(part[x], part[y], votes, least, most) if o is None else measured(part[x], part[y], o, least, most)
             if got:
-                out.append((names[a], names[b], *got))
+                out.append((names[x], names[y], *got))
         cols = list(zip(*out)) if out else [[]] * 5
         kinds = [ids.type, ids.type, pa.int32(), pa.int32(), pa.float64()]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("rec_a", "rec_b", "offset", "overlap", "bit_errors"), cols, kinds)})
 
     schema = f"rec_a {id_type}, rec_b {id_type}, offset int, overlap int, bit_errors double"
-    return tiled.groupBy("leader", "i", "j").applyInArrow(verify, schema).dropDuplicates(["rec_a", "rec_b"])
+    return tiled.groupBy("part").applyInArrow(verify, schema).dropDuplicates(["rec_a", "rec_b"])
 
 
 _PITCH = 440.0 * 2 ** (np.arange(12) / 12)
@@ -256,16 +344,36 @@ def rendered(cell: pa.Scalar) -> np.ndarray | None:
 
 
 def recordings_aligned(df: DataFrame, id_col: str = "rec_id", audio_col: str = "audio", rate: int = RATE, decode: Callable[[pa.Scalar], np.ndarray | None] = pcm16) -> DataFrame:
-    """(rec_id, prints, partners): each recording's fingerprint and what it aligns with.
-
-    Partners are sorted by id; an offset o says that the partner's frame i + o
-    answers frame i.  Rows of one id all carry that id's partners.
+    """(rec_id, prints, class_id, links, best): one row for each recording.
+
+    Recordings that align, directly or through others, have the smallest of
+    their ids as ``class_id``.  ``links`` counts the other rows that a recording
+    aligns with, copies included.  ``best`` is the partner of another
+    fingerprint with the fewest differing bits, then the longest overlap, then
+    the smallest id (of those with that partner's fingerprint); its offset o
+    says that the partner's frame i + o answers frame i.  ``aligned`` gives the
+    pairs themselves.
     """
     prints = written(fingerprints(df, id_col, audio_col, rate, decode), "prints")
-    pairs = written(aligned(prints), "aligned")
-    sides = pairs.select(F.col("rec_a").alias("rec_id"), F.struct(F.col("rec_b").alias("rec"), "offset", "overlap", "bit_errors").alias("p")).unionByName(
-        pairs.select(F.col("rec_b").alias("rec_id"), F.struct(F.col("rec_a").alias("rec"), (-F.col("offset")).alias("offset"), "overlap", "bit_errors").alias("p"))
+    found = prints.filter("size(prints) > 0")
+    units = written(found.groupBy("prints").agg(F.min("rec_id").alias("rec"), F.count(F.lit(1)).alias("n")).withColumn("unit", F.xxhash64("prints")), "recordings")
+    pairs = written(aligned(units.select(F.col("unit").alias("rec_id"), "prints")), "aligned")
+    roots = components(pairs.select(F.col("rec_a").alias("a"), F.col("rec_b").alias("b"))).withColumnRenamed("node", "unit")
+    sides = pairs.select(F.col("rec_a").alias("unit"), F.col("rec_b").alias("partner"), "offset", "overlap", "bit_errors").unionByName(
+        pairs.select(F.col("rec_b").alias("unit"), F.col("rec_a").alias("partner"), (-F.col("offset")).alias("offset"), "overlap", "bit_errors")
+    )
+    named = sides.join(units.select(F.col("unit").alias("partner"), "rec", "n"), "partner")
+    linked = named.groupBy("unit").agg(
+        F.sum("n").alias("others"),
+        F.min(F.struct("bit_errors", (-F.col("overlap")).alias("less"), F.col("rec").isNull().alias("no"), "rec", "offset", "overlap")).alias("best"),
+    )
+    rooted = units.join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    classes = rooted.groupBy("root").agg(F.min("rec").alias("class_id"))
+    alike = F.when(F.size("prints") >= max(VOTES, LEAST_OVERLAP), F.col("n") - 1).otherwise(0)  # a recording aligns with its copy at 0
+    known = (
+        rooted.join(classes, "root")
+        .join(linked, "unit", "left")
+        .select("unit", "class_id", (alike + F.coalesce("others", F.lit(0))).alias("links"), F.when(F.col("best").isNotNull(), F.struct("best.rec", "best.offset", "best.overlap", "best.bit_errors")).alias("best"))
     )
-    listed = sides.groupBy("rec_id").agg(F.array_sort(F.collect_list("p")).alias("partners"))
-    none = F.array().cast(listed.schema["partners"].dataType)
-    return prints.join(listed, "rec_id", "left").select("rec_id", "prints", F.coalesce("partners", none).alias("partners"))
+    marked = prints.withColumn("unit", F.when(F.size("prints") > 0, F.xxhash64("prints")))
+    return marked.join(known, "unit", "left").select("rec_id", "prints", "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "best")
