@@ -12,9 +12,16 @@ one group, where collisions are counted and the candidates are verified on
 whole signatures.  Groups of any size are handled: large ones are cut into
 square tiles.  Nothing is capped and the result is exact for the signatures.
 
-Results: texts that are null or hold no word are no one's duplicates.  Rows
-with a null id take part in groups but not in pairs of ids.  Repeated rows
-count as copies.  Ties go to the smallest id, nulls last.
+``linked`` gives one row a document with its class and number of links, so
+groups of copies are counted and not expanded; ``unit_pairs`` has the links
+between different signatures.
+
+Results: texts that are null or hold no word are no one's duplicates: they
+have no links and, in ``linked``, no class.  Rows with a null id take part in
+groups and are counted.  Repeated rows count as copies.  Ties go to the
+smallest id, nulls last.  Very long texts are read whole.  An empty table
+gives an empty one.  Other columns may have any names: ``linked`` ignores
+them and ``deduplicated`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -124,11 +131,11 @@ def unit_pairs(units: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
 
 def _units(signed_docs: DataFrame) -> DataFrame:
-    """(unit, sig, rep): each signature once, with the smallest id that has it."""
-    return signed_docs.filter("unit is not null").groupBy("unit").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep"))
+    """(unit, sig, rep, n): each signature once, with the smallest id that has it and its number of rows."""
+    return signed_docs.filter("unit is not null").groupBy("unit").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def near_pairs(
+def linked(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -136,30 +143,22 @@ def near_pairs(
     matches: int = MATCHES,
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """(doc_a, doc_b, matches), doc_a < doc_b: all pairs, those of equal signatures included.
+    """(doc_id, class_id, links) of each row.
 
-    n documents of one signature give n * (n - 1) / 2 rows, so the result grows
-    with the square of a group of copies.
+    ``class_id`` is the smallest id among the documents that are near
+    duplicates directly or through others; ``links`` is the number of other
+    rows that agree in at least ``matches`` coordinates.
     """
     docs = written(signed(df, id_col, text_col, coordinates, shingle), "signatures")
     units = written(_units(docs), "units")
-    pairs = unit_pairs(units.select("unit", "sig"), coordinates, matches)
-    known = docs.filter("unit is not null and doc_id is not null").select("unit", "doc_id").distinct()
-    # an id of several texts may meet another in several units, and then counts once
-    members = written(known.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > 1), "members")
-    x, y = (members.select(F.col("unit").alias(u), F.col("doc_id").alias(i), F.col("several").alias(f"several_{u}")) for u, i in (("a", "x"), ("b", "y")))
-    both = pairs.unionByName(members.groupBy("unit").count().filter("count > 1").select(F.col("unit").alias("a"), F.col("unit").alias("b"), F.lit(coordinates).alias("matches")))
-    named = (
-        both.join(x, "a")
-        .join(y, "b")
-        .filter("x < y or a != b and x > y")
-        .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "matches", (F.col("several_a") | F.col("several_b")).alias("several"))
-    )
-    if not members.filter("several").limit(1).count():
-        return named.drop("several")
-    named = written(named, "named")
-    again = named.filter("several").groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-    return named.filter("not several").drop("several").unionByName(again)
+    pairs = written(unit_pairs(units.select("unit", "sig"), coordinates, matches), "pairs")
+    roots = components(pairs).withColumnRenamed("node", "unit")
+    both = pairs.select(F.col("a").alias("unit"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("unit"), F.col("a").alias("other")))
+    others = both.join(units.select(F.col("unit").alias("other"), "n"), "other").groupBy("unit").agg(F.sum("n").alias("others"))
+    rooted = units.select("unit", "rep", "n").join(roots, "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    classes = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
+    known = rooted.join(classes, "root").join(others, "unit", "left").select("unit", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return docs.select("doc_id", "unit").join(known, "unit", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -198,11 +197,16 @@ def deduplicated(
     groups = components(unit_pairs(units.select("unit", "sig"), coordinates, matches))
     known = docs.filter("unit is not null").select("doc_id", "th", "unit")
     grouped = known.join(groups.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    keepers = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("k"))
-    kept = keepers.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.th").alias("_kept_th"), F.lit(True).alias("_once"))
-    wordless = docs.filter("unit is null").select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), F.lit(False).alias("_once")).distinct()
-    marked = df.withColumn("_th", F.xxhash64(F.col(f"`{text_col}`")))
-    joined = marked.join(kept.unionByName(wordless), marked[id_col].eqNullSafe(F.col("_kept_id")) & (F.col("_th") == F.col("_kept_th")))
-    others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double") and f.name != text_col]
-    nth = F.row_number().over(Window.partitionBy("_kept_id", "_kept_th").orderBy(*others))
-    return joined.withColumn("_nth", nth).filter("_nth = 1 or not _once").select(*[F.col(f"`{c}`") for c in df.columns])
+    counted = grouped.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    keepers = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
+    kept = written(keepers.select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th"), (F.col("k.n") > 1).alias("again")), "kept")
+    wordless = docs.filter("unit is null").select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"), F.lit(False).alias("again")).distinct()
+    # the row is nested, so that its columns can't clash with ours
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("own_th"))
+    joined = rows.join(kept.unionByName(wordless), F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_th") == F.col("kept_th")))
+    out = joined.filter("not again").select("row")
+    if kept.filter("again").limit(1).count():  # the kept row itself is repeated: one of its copies stays
+        other = [F.col("row").getField(f.name) for f in df.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double") and f.name != text_col]
+        order = F.struct(*other) if other else F.lit(0)
+        out = out.unionByName(joined.filter("again").groupBy("kept_id", "kept_th").agg(F.min_by("row", order).alias("row")).select("row"))
+    return out.select([F.col("row").getField(c).alias(c) for c in df.columns])

@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_pairs(table(spark, sf_dir, "documents"))
+    return neardup.linked(table(spark, sf_dir, "documents"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

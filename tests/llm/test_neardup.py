@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from statforge.llm.neardup import components, deduplicated, near_pairs, signatures
+from statforge.llm.neardup import _units, components, deduplicated, linked, signatures, signed, unit_pairs
 
 
 def corpus(seed=3):
@@ -31,19 +31,18 @@ def brute(rows, matches=36):
     return {(min(ids[i], ids[j]), max(ids[i], ids[j])): int(same[i, j]) for i in range(len(rows)) for j in range(i) if has[i] and has[j] and same[i, j] >= matches}
 
 
-def expand(pairs):
-    """All pairs from those of representatives."""
-    twins = {}
-    for p in pairs:
-        if p.matches == 64:
-            twins.setdefault(p.doc_a, {p.doc_a}).add(p.doc_b)
-    out = set()
-    for p in pairs:
-        if p.matches < 64:
-            out |= {tuple(sorted((x, y))) for x in twins.get(p.doc_a, {p.doc_a}) for y in twins.get(p.doc_b, {p.doc_b})}
-    for group in twins.values():
-        out |= {(x, y) for x in group for y in group if x < y}
-    return out
+def classes(rows, pairs):
+    """(id, class, links) of each row from all pairs of ids."""
+    root = groups([i for i, _ in rows], pairs)
+    count = {i: 0 for i, _ in rows}
+    for a, b in pairs:
+        count[a] += 1
+        count[b] += 1
+    return sorted((i, root[i], count[i]) for i, _ in rows)
+
+
+def found(df):
+    return sorted(((r.doc_id, r.class_id, r.links) for r in linked(df).collect()), key=str)
 
 
 def groups(nodes, pairs):
@@ -60,29 +59,35 @@ def groups(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-def test_pairs_equal_brute_force(make):
+def test_classes_and_links_equal_brute_force(make):
     rows = corpus()
     want = brute(rows)
-    got = near_pairs(make(rows)).collect()
-    assert expand(got) == set(want)
-    assert all(want[p.doc_a, p.doc_b] == p.matches for p in got)
+    assert found(make(rows)) == sorted(classes(rows, want), key=str)
     assert len(want) > 50
 
 
-def test_every_pair_of_copies_is_given(make):
+def test_links_between_signatures_equal_brute_force(make):
+    rows = corpus()
+    want = brute(rows)
+    docs = signed(make(rows), "doc_id", "text", 64, 3)
+    unit = {r.doc_id: r.unit for r in docs.collect()}
+    got = {(r.a, r.b): r.matches for r in unit_pairs(_units(docs).select("unit", "sig"), 64, 36).collect()}
+    assert got == {tuple(sorted((unit[a], unit[b]))): n for (a, b), n in want.items() if unit[a] != unit[b]}
+
+
+def test_copies_are_counted(make):
     base = [f"w{i}" for i in range(80)]
     text, near = " ".join(base), " ".join(base[:-1] + ["other"])
     rows = [(i, text) for i in (1, 2, 3)] + [(4, near), (5, near), (6, "something else entirely")] + corpus(5)[100:]
-    got = {(p.doc_a, p.doc_b): p.matches for p in near_pairs(make(rows)).collect()}
-    assert got == brute(rows) and {(2, 3), (2, 4), (3, 5), (4, 5)} <= set(got)
-    assert near_pairs(make([(i, text) for i in range(60)])).count() == 60 * 59 // 2
+    assert found(make(rows)) == sorted(classes(rows, brute(rows)), key=str)
+    assert found(make([(i, text) for i in range(60)])) == sorted(((i, 0, 59) for i in range(60)), key=str)
 
 
-def test_an_id_of_several_texts_meets_another_once(make):
+def test_repeated_rows_and_null_ids_count(make):
     base = [f"w{i}" for i in range(80)]
     text, near = " ".join(base), " ".join(base[:-1] + ["other"])
-    got = near_pairs(make([(1, text), (1, near), (2, text), (2, near), (2, near), (None, text), (3, None)])).collect()
-    assert [tuple(r) for r in got] == [(1, 2, 64)]
+    got = found(make([(1, text), (1, near), (2, text), (2, near), (2, near), (None, text), (3, None)]))
+    assert got == sorted([(1, 1, 5)] * 2 + [(2, 1, 5)] * 3 + [(None, 1, 5), (3, None, 0)], key=str)
 
 
 def test_small_tiles(make, monkeypatch):
@@ -90,7 +95,18 @@ def test_small_tiles(make, monkeypatch):
 
     monkeypatch.setattr(neardup, "TILE", 3)
     rows = corpus(8)
-    assert expand(near_pairs(make(rows)).collect()) == set(brute(rows))
+    assert found(make(rows)) == sorted(classes(rows, brute(rows)), key=str)
+
+
+def test_columns_of_any_name_stay(spark, make):
+    names = ["_th", "_nth", "_kept_id", "kept_id", "kept_th", "row", "own_id", "own_th", "again", "unit", "sig", "root", "k", "n", "th", "doc_a", "links", "class_id", "no_id"]
+    rows = [(i % 37, t, *[f"{n}{i}" for n in names]) for i, (_, t) in enumerate(corpus(4)[:60])]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = deduplicated(df)
+    assert got.columns == df.columns
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(set(got)) == deduplicated(df.select("doc_id", "text")).count() > 5 and set(got) <= set(rows)
 
 
 def test_one_of_each_group_stays(make):
@@ -108,12 +124,13 @@ def test_components_of_chains(spark):
 
 
 def test_odd_rows(odd, empty, make):
-    assert near_pairs(odd).collect() == []
+    got = {(r.doc_id, r.links, r.class_id) for r in linked(odd).collect()}
+    assert {(1, 2, 1), (None, 2, 1), (None, 0, None), (2, 0, None), (4, 0, 4), (8, 0, 8)} <= got and linked(odd).count() == odd.count()
     kept = [(r.doc_id, r.text) for r in deduplicated(odd).collect()]
     texts = [t for _, t in kept]
     assert texts.count("one two three four five") == 1 and (1, "one two three four five") in kept
     assert {(2, None), (3, ""), (None, None), (5, "   \n "), (7, "!!! ???"), (8, "ein Haus am See"), (8, "un autre texte ici")} <= set(kept)
-    assert near_pairs(empty).count() == 0 and deduplicated(empty).count() == 0
+    assert linked(empty).count() == 0 and deduplicated(empty).count() == 0
     assert deduplicated(make([(None, "same old text here"), (None, "same old text here")])).count() == 1
 
 
