@@ -11,7 +11,9 @@ own.  A null text has size 0 but is replicated like any other of its source.
 Equal rows of one id are told apart by nothing and get equal counts.  An
 empty table gives an empty one.  A source of total size 0 has mean 1.  Targets
 of sources that don't occur are left out and the others rescaled; sources
-without a target get none and their documents are dropped.
+without a target get none and their documents are dropped.  Very long texts
+are replicated whole.  Columns of any names stay as they are: the rows travel
+nested, beside our own columns.
 """
 
 from __future__ import annotations
@@ -29,11 +31,8 @@ from .tables import written
 #: Sizes to this power are the default targets: small sources gain, large ones lose.
 TEMPERATURE = 0.5
 SEED = 11
-#: Up to this many sources their rates are broadcast; beyond it they are joined by shuffle.
-BROADCAST_SOURCES = 10_000
-#: Means below this are inverted from count 0 up, all others around their mode. OP6_SQL has the exact counts only below it.
-WHOLE = 16.0
-_TERMS = 80
+#: Distribution tables of up to this many numbers are broadcast; beyond it they are joined by shuffle.
+BROADCAST_NUMBERS = 1_000_000
 
 
 def rates(df: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -61,16 +60,40 @@ def fraction(hexed: F.Column) -> F.Column:
     return (F.conv(F.substring(hexed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
 
 
-def around_mode(mean: float) -> tuple[int, list[float]]:
-    """(k, P(count <= k), P(count <= k + 1), ...) of a large mean, over all counts within 12 deviations of it."""
+def distribution(mean: float) -> tuple[int, list[float]]:
+    """(k, [P(count <= k), P(count <= k + 1), ...]) over all counts within 12 deviations of the mean, and 40 more."""
     mode, reach = math.floor(mean), math.ceil(12 * math.sqrt(mean))
     start = max(0, mode - reach)
-    up = np.cumprod(mean / np.arange(mode + 1, mode + reach + 1))
-    down = np.cumprod(np.arange(mode, start, -1) / mean)
+    up = np.cumprod(mean / np.arange(mode + 1, mode + reach + 41))
+    down = np.cumprod(np.arange(mode, start, -1) / mean) if mean > 0 else np.zeros(0)
     p = np.concatenate([down[::-1], [1.0], up])
     return start, (p.cumsum() / p.sum()).tolist()
 
 
+def _copies(
+    df: DataFrame, targets: dict[str, float] | None, temperature: float, seed: int, id_col: str, source_col: str, text_col: str
+) -> DataFrame:
+    """(row, copy, turn): each copy of each row, in shuffled order."""
+    per_source = rates(df, targets, temperature, source_col, text_col)
+    ship(df.sparkSession)
+    tabled = F.udf(distribution, "start bigint, cdf array<double>")  # once a source
+    table = written(per_source.filter("rate > 0").withColumn("d", tabled("rate")).select("source", "d.start", "d.cdf"), "rates")
+    if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:
+        table = F.broadcast(table)
+    own = digest(F.lit(seed), F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), own.alias("own"), F.col(f"`{source_col}`").alias("from"))
+    return (
+        rows.withColumn("u", fraction(F.col("own")))
+        .join(table, F.col("from").eqNullSafe(F.col("source")))
+        .withColumn("count", F.col("start") + F.size(F.filter("cdf", lambda c: c < F.col("u"))))
+        .filter("count > 0")
+        .select("row", "own", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("count"))).alias("copy"))
+        .select("row", "copy", fraction(digest(F.col("copy"), F.col("own"))).alias("turn"))
+        .repartition(F.col("turn"))
+        .sortWithinPartitions("turn")
+    )
+
+
 def mixed(
     df: DataFrame,
     targets: dict[str, float] | None = None,
@@ -79,50 +102,24 @@ def mixed(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    numbered: bool = True,
 ) -> DataFrame:
-    """The replicated documents in shuffled order, with columns ``df``'s, ``_copy`` (from 1) and ``_order``."""
-    per_source = rates(df, targets, temperature, source_col, text_col)
-    # P(count <= k) for k = 0, 1, ..., or from some k on for large means
-    low = F.col("rate")
-    term = "exp(-low)"
-    steps = F.expr(
-        f"aggregate(sequence(1, {_TERMS}), named_struct('p', {term}, 'c', {term}, 'all', array({term})), "
-        "(s, k) -> named_struct('p', s.p * low / k, 'c', s.c + s.p * low / k, 'all', array_append(s.all, s.c + s.p * low / k)), s -> s.all)"
-    )
-    ship(df.sparkSession)
-    large = F.udf(lambda mean: around_mode(mean) if mean >= WHOLE else None, "start bigint, cdf array<double>")
-    table = (
-        per_source.withColumn("low", low)
-        .withColumn("large", large("rate"))
-        .select(F.col("source").alias("_src"), F.coalesce("large.start", F.lit(0).cast("bigint")).alias("_whole"), F.when(F.col("rate") < WHOLE, steps).otherwise(F.col("large.cdf")).alias("_cdf"))
-    )
-    table = written(table, "rates")
-    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    own = digest(F.lit(seed), F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    return (
-        df.withColumn("_own", own)
-        .withColumn("_u", fraction(F.col("_own")))
-        .join(table, F.col(f"`{source_col}`").eqNullSafe(F.col("_src")))
-        .withColumn("_count", F.col("_whole") + F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
-        .filter("_count > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_count"))))
-        .withColumn("_order", fraction(digest(F.col("_copy"), F.col("_own"))))
-        .select(*[F.col(f"`{c}`") for c in df.columns], "_copy", "_order")
-        .repartition(F.col("_order"))
-        .sortWithinPartitions("_order")
-    )
+    """The replicated documents in shuffled order, with ``df``'s columns.
+
+    If ``numbered``, ``_copy`` (from 1) and ``_order`` follow; their names get
+    further underscores in front where ``df`` has such columns.
+    """
+    copies = _copies(df, targets, temperature, seed, id_col, source_col, text_col)
+    taken = {c.lower() for c in df.columns}
+    named = []
+    for name, col in (("_copy", "copy"), ("_order", "turn")) if numbered else ():
+        while name in taken:
+            name = f"_{name}"
+        named.append(F.col(col).alias(name))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in df.columns], *named)
 
 
 def poisson_count(u: float, mean: float) -> int:
     """The inverse of the distribution, for tests."""
-    if mean >= WHOLE:
-        start, cdf = around_mode(mean)
-        return start + sum(c < u for c in cdf)
-    k, p = 0, math.exp(-mean)
-    c = p
-    while c < u and k < _TERMS + 1:
-        k += 1
-        p *= mean / k
-        c += p
-    return k
+    start, cdf = distribution(mean)
+    return start + sum(c < u for c in cdf)

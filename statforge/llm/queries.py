@@ -66,14 +66,14 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = f"""
 with size as (select source, sum(length(text)) as n from documents group by source),
 rate as (select source, sqrt(n) / sum(sqrt(n)) over () * sum(n) over () / n as r from size),
-low as (select source, floor(r / {mixing.WHOLE}) * {mixing.WHOLE} as whole, r - floor(r / {mixing.WHOLE}) * {mixing.WHOLE} as low from rate),
-term as (select source, whole, k, exp(-low + k * ln(low) - lgamma(k + 1)) as p from low, generate_series(0, {mixing._TERMS}) g(k)),
-cdf as (select source, whole, k, sum(p) over (partition by source order by k) as c from term),
+span as (select source, r, greatest(0, floor(r) - ceil(12 * sqrt(r)))::bigint as low, (floor(r) + ceil(12 * sqrt(r)) + 40)::bigint as high from rate),
+term as (select source, low, k, exp(-r + k * ln(r) - lgamma(k + 1)) as p from span, lateral (select unnest(range(low, high + 1)) as k)),
+cdf as (select source, low, k, sum(p) over (partition by source order by k) as c from term),
 doc as (
   select *, md5('{mixing.SEED}|' || doc_id || '|' || md5(text)) as own, (('0x' || substr(own, 1, 13))::bigint::double + 0.5) / {float(16**13)} as u from documents
 ),
 n as (
-  select d.doc_id, any_value(c.whole)::bigint + count(*) filter (where c.c < d.u) as n
+  select d.doc_id, any_value(c.low) + count(*) filter (where c.c < d.u) as n
   from doc d join cdf c on d.source = c.source group by d.doc_id
 )
 select d.doc_id, d.text, d.lang, d.source, d.n_chars, g.copy::bigint as copy,

@@ -73,6 +73,31 @@ def test_large_means_are_drawn_whole(make):
         assert sum((x - mean) ** 2 for x in n) / 299 == pytest.approx(mean, rel=0.3)
 
 
+def test_sql_draws_large_means_alike(spark, tmp_path):
+    import duckdb
+
+    from statforge.llm.queries import OP6_SQL, op6_poisson_mixing
+
+    rows = [(i, "x" * (i % 3 + 1), "en", "rare", 1) for i in range(20)] + [(100 + i, "y" * 5000, "en", "rest", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert max(r.rate for r in mixing.rates(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()) > 60
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = Counter(con.sql(f"select doc_id, copy, round(shuffle_key, 9) from ({OP6_SQL})").fetchall())
+    got = Counter((r.doc_id, r.copy, round(r.shuffle_key, 9)) for r in op6_poisson_mixing(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 1000
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_own", "_count", "_copy", "_order", "__order", "_src", "_cdf", "row", "own", "from", "u", "start", "cdf", "count", "copy", "turn", "size", "rate", "aim", "SOURCE_"]
+    rows = [(i, f"t{i}", "a" if i % 3 else None, *[f"{n}{i}" for n in names]) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mixed(df, {"a": 1.0})
+    assert got.columns == df.columns + ["__copy", "___order"]
+    assert {tuple(r)[:-2] for r in got.collect()} <= set(rows) and got.count() > 10
+    assert mixing.mixed(df, numbered=False).columns == df.columns
+
+
 def test_odd_rows(odd, empty):
     got = mixing.mixed(odd)
     assert got.columns == odd.columns + ["_copy", "_order"]
