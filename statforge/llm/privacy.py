@@ -10,6 +10,13 @@ without fixed points.  Separators, widths, letter case and check digits stay
 valid, a text keeps its length, and equal values get equal pseudonyms in all
 documents, whatever separators they are written with.
 
+Letters and digits of addresses and secrets stay within their class: those of
+one alphabet and case, for other scripts those of one category among 128
+neighbouring code points.  Where there are more than ``SMALL`` such values, the
+Feistel network works on the characters' places in their classes, the first
+half of them against the second, with a key stream as long as the half; its
+cost is linear in the length.  The domain of an address stays.
+
 Cards and IBANs are also found where other numbers or words stand next to them:
 any whole digit groups that make a valid card are one, as is an IBAN that ends
 at any blank.  Where digits could be read in several ways, a pseudonym is
@@ -17,7 +24,9 @@ stepped on until it is read in the same way; there alone, equal values may get
 different pseudonyms.
 
 Results: null and empty texts stay as they are, as do values that fail their
-validation.  ``reveal`` undoes ``conceal`` for the same key, but perhaps in
+validation.  Values and texts of any length are treated whole.  Repeated rows
+get equal texts, an empty table gives an empty one, and other columns of any
+name stay as they are.  ``reveal`` undoes ``conceal`` for the same key, but perhaps in
 long runs of numbers of which no reading like the first is found.
 """
 
@@ -27,9 +36,12 @@ import datetime
 import hashlib
 import math
 import re
+import unicodedata
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -39,6 +51,8 @@ from statforge.sources.shipping import ship
 
 DEFAULT_KEY = b"statforge demonstration key"
 ROUNDS = 8
+#: Formats of more values than this are permuted character by character.
+SMALL = 1 << 128
 
 
 class Feistel:
@@ -74,6 +88,30 @@ class Feistel:
     def swap(self, x: int, n: int, tweak: str, back: bool) -> int:
         return self.cached(x, n, tweak, back)
 
+    def _stream(self, tweak: bytes, i: int, data: bytes, size: int) -> np.ndarray:
+        """``size`` keyed numbers that depend on all of ``data``."""
+        seed = hashlib.blake2b(b"%d|%d|%d|" % (i, len(tweak), size) + tweak + data, key=self.key, digest_size=32).digest()
+        return np.frombuffer(hashlib.shake_256(self.key + seed).digest(8 * size), "<u8")
+
+    def swap_places(self, x: np.ndarray, size: np.ndarray, tweak: str, back: bool) -> np.ndarray:
+        """The like of ``swap`` for a string of numbers below ``size`` each, of which none is under 2."""
+        head, wide, name = len(x) // 2, size.astype(np.uint64), tweak.encode()
+        shift = self._stream(name, ROUNDS, b"", len(x)) % wide
+        shift[0] = 1 + shift[0] % (wide[0] - np.uint64(1))
+        x = x.astype(np.uint64)
+        half = (slice(0, head), slice(head, None))
+
+        def turn(x: np.ndarray, undo: bool) -> None:
+            for i in range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS):
+                own, other = half[i % 2], half[1 - i % 2]
+                add = self._stream(name, i, x[other].astype("<u2").tobytes(), len(x[own])) % wide[own]
+                x[own] = (x[own] + (wide[own] - add if undo else add)) % wide[own]
+
+        turn(x, True)
+        x = (x + (wide - shift if back else shift)) % wide
+        turn(x, False)
+        return x
+
 
 def luhn(digits: str) -> int:
     """The Luhn sum modulo 10; 0 if valid."""
@@ -100,22 +138,51 @@ _HEX = ["0123456789", "abcdef", "ABCDEF"]
 _HEX_PLACE = {c: (a, i) for a in _HEX for i, c in enumerate(a)}
 
 
+@lru_cache(maxsize=4096)
+def _block(block: int, category: str) -> str:
+    """The letters or digits of one category among 128 neighbouring code points, but for those of the alphabets above."""
+    return "".join(c for c in map(chr, range(block << 7, (block + 1) << 7)) if unicodedata.category(c) == category and c not in _PLACE)
+
+
+def _placed(c: str, place: dict) -> tuple[str, int] | None:
+    """The class of a character and its place there; None if it stays."""
+    found = place.get(c)
+    if found or place is _HEX_PLACE or not c.isalnum():
+        return found
+    if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd"):
+        own = _block(ord(c) >> 7, unicodedata.category(c))
+        if len(own) > 1:
+            return own, own.index(c)
+    return None
+
+
 def _classes(f: Feistel, s: str, tweak: str, back: bool, place: dict = _PLACE) -> str:
     """Permute a string among those with the same kind of character in each place."""
-    x, n = 0, 1
+    seen: dict[str, tuple[str, int] | None] = {}
     for c in s:
-        if c in place:
-            a, i = place[c]
+        if c not in seen:
+            seen[c] = _placed(c, place)
+    found = [seen[c] for c in s]
+    tweak = f"{tweak}/{''.join(p[0][0] if p else '-' for p in found)}"
+    inner = [p for p in found if p]
+    if not inner:
+        return s
+    n = 1
+    for a, _ in inner:
+        n *= len(a)
+        if n > SMALL:
+            places = f.swap_places(np.array([i for _, i in inner]), np.array([len(a) for a, _ in inner]), tweak, back).tolist()
+            break
+    else:
+        x, n, places = 0, 1, []
+        for a, i in inner:
             x, n = x + i * n, n * len(a)
-    x = f.swap(x, n, f"{tweak}/{''.join(place[c][0][0] if c in place else '-' for c in s)}", back)
-    out = []
-    for c in s:
-        if c in place:
-            a = place[c][0]
+        x = f.swap(x, n, tweak, back)
+        for a, _ in inner:
             x, i = divmod(x, len(a))
-            c = a[i]
-        out.append(c)
-    return "".join(out)
+            places.append(i)
+    new = iter(places)
+    return "".join(p[0][next(new)] if p else c for c, p in zip(s, found))
 
 
 def _card(f: Feistel, s: str, back: bool) -> str:
@@ -211,7 +278,8 @@ def _date(f: Feistel, s: str, back: bool) -> str:
 
 def _email(f: Feistel, s: str, back: bool) -> str:
     local, _, domain = s.rpartition("@")
-    return f"{_classes(f, local, 'email', back)}@{domain}"
+    name = local.lstrip(".%+-")
+    return f"{local[: len(local) - len(name)]}{_classes(f, name, 'email', back)}@{domain}"
 
 
 def _secret(f: Feistel, s: str, back: bool) -> str:
@@ -221,7 +289,7 @@ def _secret(f: Feistel, s: str, back: bool) -> str:
 
 _KINDS: list[tuple[str, str, Callable[[Feistel, str, bool], str]]] = [
     ("secret", r"(?<=[=:]\s[\"'])[0-9A-Za-z_\-/+]{16,}(?=[\"'])|(?<=[=:][\"'])[0-9A-Za-z_\-/+]{16,}(?=[\"'])", _secret),
-    ("email", r"\w[\w.%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", _email),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", _iban),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])", _ip),
     ("date", r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9\-/])", _date),
@@ -256,7 +324,7 @@ def _cards(text: str, start: int, stop: int, printed: bool) -> list[Span]:
     found = []
     for i, (low, _) in enumerate(groups):
         n, shape = 0, ()
-        for s, e in groups[i:]:
+        for s, e in groups[i : i + 19]:
             n, shape = n + e - s, (*shape, e - s)
             if n > 19:
                 break
@@ -264,9 +332,10 @@ def _cards(text: str, start: int, stop: int, printed: bool) -> list[Span]:
                 found.append((-n, low, e))
     out: list[Span] = []
     for _, low, e in sorted(found):
-        if all(e <= s or low >= t for s, t, _ in out):
-            out.append((low, e, "card"))
-    return sorted(out)
+        k = bisect_right(out, (low, e, "card"))
+        if (k == 0 or out[k - 1][1] <= low) and (k == len(out) or e <= out[k][0]):
+            insort(out, (low, e, "card"))
+    return out
 
 
 def _between(spans: list[Span], start: int, stop: int) -> Iterator[tuple[int, int]]:
@@ -359,18 +428,22 @@ def _stepped(f: Feistel, text: str, spans: list[Span], unsure: list[tuple[int, i
         parts.append((low, max([high, *(e for _, e, _ in own)]), own))
     held = {x for _, _, own in parts for x in own}
     text = step(text, [x for x in spans if x not in held])
+    out, done = [], 0
     for low, high, own in parts:
         if not own:
             continue
-        first = new = step(text, own)
+        pad = max(0, low - 4)  # what stands before decides, too
+        own, part, top = [(s - pad, e - pad, k) for s, e, k in own], text[pad:high], high - pad
+        first = new = step(part, own)
         for _ in range(_WALK):
-            if new != text and _spans(new, low, high)[0] == own:
+            if new != part and _spans(new, low - pad, top)[0] == own:
                 break
             new = step(new, own)
         else:
             new = first
-        text = new
-    return text
+        out += [text[done:low], new[low - pad :]]
+        done = high
+    return "".join(out) + text[done:] if out else text
 
 
 _SIGN = re.compile(r"[0-9@]|[=:]\s?[\"']")
