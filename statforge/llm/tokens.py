@@ -9,12 +9,19 @@ of emitted tokens, so the count of a text is the sum of the weights along its
 path and no token is ever built.
 
 Texts are cut into chunks.  All chunks advance in lockstep, one numpy gather a
-character; each chunk has a state map (start state -> end state and count),
-constant where the chunk begins at a blank after a non-blank, and the maps
-compose through a prefix scan over the chunks of each text.
+character; each chunk has a state map (start state -> end state and count).
+It is constant where the chunk begins at a blank after a non-blank, and else
+taken at the states that short runs from before the chunk end in.  The maps of
+a text compose by a parallel prefix scan (``composed``).  Where a map isn't
+known at a state that is needed, it is taken there and the scan repeated.
+
+The automaton is compiled as texts need it.  It is dropped once it has more
+than ``MOST_STATES`` states; a text in work keeps only its present state, so
+counts don't depend on it.  Texts are fed in parts of ``PART`` characters.
 
 Results: a null text has a null count, an empty text 0.  Rows are kept one to
-one, repeated rows and ids included; other columns of the input are ignored.
+one, repeated rows and ids included; texts of any length are counted whole, an
+empty table gives an empty one, and other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .tables import only
 from .textops import slices
@@ -34,7 +42,11 @@ from .textops import slices
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Entries growing from a position are listed, to merge equal states, where there are no more than this.
 FEW = 6
-CHUNK = 1024
+CHUNK = 512
+#: The compiled automaton is dropped when it has more states than this; on random text each takes about 3 KB.
+MOST_STATES = 100_000
+#: Characters that are counted between two looks at the automaton's size.
+PART = 1 << 19
 #: A transition's value: the next state above, the weight plus an offset in the low bits.
 _BITS, _OFFSET = 13, 1 << 12
 _HASH = 0x9E3779B97F4A7C15
@@ -63,8 +75,12 @@ class Merges:
                     self.token.append(-1)
                 n = m
             self.token[n] = i
-        self.pair: dict[tuple[int, int], bool] = {}
         self.below: dict[int, frozenset | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was compiled."""
+        self.pair: dict[tuple[int, int], bool] = {}
         self.open: dict[tuple[int, int], tuple | None] = {}
         first = ((0, (-1,), 0),)
         self.states = [first]
@@ -184,10 +200,29 @@ class Transducer:
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.merges = Merges(ranks)
+        self.kind: dict[int, str] = {}
+        self.forget()
+
+    def forget(self, kept: int = 0) -> int:
+        """Drop what was compiled but for one state; its new number."""
+        state = self.states[kept] if kept else ("S",)
+        below = self.merges.states[state[1]] if state[0] in "WLNO" else None
+        self.merges.forget()
+        if below is not None:
+            if below not in self.merges.index:
+                self.merges.index[below] = len(self.merges.states)
+                self.merges.states.append(below)
+            state = (state[0], self.merges.index[below], *state[2:])
         self.states: list[tuple] = [("S",)]
         self.index: dict[tuple, int] = {("S",): 0}
-        self.kind: dict[int, str] = {}
         self._table(1 << 18)
+        if state not in self.index:
+            self.index[state] = len(self.states)
+            self.states.append(state)
+        return self.index[state]
+
+    def crowded(self) -> bool:
+        return len(self.states) > MOST_STATES or len(self.merges.states) > MOST_STATES or self.filled > 20 * MOST_STATES
 
     def _table(self, size: int) -> None:
         self.keys = np.full(size, -1, np.int64)
@@ -307,8 +342,31 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
+        out, i = np.zeros(len(texts), np.int64), 0
+        while i < len(texts):
+            if self.crowded():
+                self.forget()
+            if len(texts[i]) > PART:
+                state = 0
+                for at in range(0, len(texts[i]), PART):
+                    if self.crowded():
+                        state = self.forget(state)
+                    n, state = self._counted([texts[i][at : at + PART]], state)
+                    out[i] += n[0]
+                i += 1
+                continue
+            j, size = i, 0
+            while j < len(texts) and size + len(texts[j]) <= PART:
+                size += len(texts[j])
+                j += 1
+            out[i:j], _ = self._counted(texts[i:j], 0)
+            i = j
+        return out
+
+    def _counted(self, texts: list[str], begin: int) -> tuple[np.ndarray, int]:
+        """Tokens of each text from a start state, and the state at the end."""
         if not any(texts):
-            return np.zeros(len(texts), np.int64)
+            return np.zeros(len(texts), np.int64), begin
         cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         off = np.concatenate([[0], np.cumsum(size)])
@@ -322,26 +380,56 @@ class Transducer:
         sync[1:-1] = (cps[1:] == 32) & ~blank[:-1]
         where = np.flatnonzero(sync)
         near = where[np.minimum(np.searchsorted(where, start), max(0, len(where) - 1))] if len(where) else start - 1
-        fixed = nth == 0
-        ok = ~fixed & (near >= start) & (near < np.minimum(start + CHUNK // 2, off[doc + 1]))
+        first = nth == 0
+        ok = ~first & (near >= start) & (near < np.minimum(start + CHUNK // 2, off[doc + 1]))
         start = np.where(ok, near, start)
-        constant = fixed | ok  # the state map doesn't depend on the start state
+        constant = first | ok  # the state map doesn't depend on the start state
         length = np.append(start[1:], len(cps)) - start
-        state = np.zeros(len(start), np.int64)
-        if (~constant).any():  # guess those start states from a short run before them
-            g = np.flatnonzero(~constant)
-            back = np.minimum(64, start[g] - off[doc[g]])
-            state[g], _ = self.advance(cps, start[g] - back, back, state[g])
-        end, weight = self.advance(cps, start, length, state)
-        while True:  # compose: a map holds where it is constant or was taken at the state that its predecessor ends in
-            wrong = np.flatnonzero(~constant[1:] & (state[1:] != end[:-1])) + 1
-            if not len(wrong):
+        domain = np.full((len(start), 2), -1, np.int64)  # start states at which a chunk's map is taken
+        domain[constant, 0] = np.where(first[constant], begin, 0)
+        g = np.flatnonzero(~constant)
+        for k, reach in enumerate((16, 64)):
+            back = np.minimum(reach, start[g] - off[doc[g]])
+            domain[g, k], _ = self.advance(cps, start[g] - back, back, np.zeros(len(g), np.int64))
+        domain[domain[:, 1] == domain[:, 0], 1] = -1
+        end, weight = np.full_like(domain, -1), np.zeros_like(domain)
+        todo = np.nonzero(domain >= 0)
+        while True:
+            end[todo], weight[todo] = self.advance(cps, start[todo[0]], length[todo[0]], domain[todo])
+            slot = composed(domain, end, constant)
+            known = slot >= 0
+            gaps = np.flatnonzero(~known[1:] & known[:-1]) + 1  # the first of each chain
+            if not len(gaps):
                 break
-            state[wrong] = end[wrong - 1]
-            end[wrong], weight[wrong] = self.advance(cps, start[wrong], length[wrong], state[wrong])
-        scan = np.concatenate([[0], np.cumsum(weight)])
+            if (domain[gaps] >= 0).all(axis=1).any():
+                domain, end, weight = (np.concatenate([x, np.full((len(x), 1), v)], axis=1) for x, v in ((domain, -1), (end, -1), (weight, 0)))
+            free = (domain[gaps] < 0).argmax(axis=1)
+            domain[gaps, free] = end[gaps - 1, slot[gaps - 1]]
+            todo = gaps, free
+        rows = np.arange(len(slot))
+        scan = np.concatenate([[0], np.cumsum(weight[rows, slot])])
         edge = np.concatenate([[0], np.cumsum(pieces)])
-        return scan[edge[1:]] - scan[edge[:-1]]
+        return scan[edge[1:]] - scan[edge[:-1]], int(end[-1, slot[-1]])
+
+
+def composed(domain: np.ndarray, end: np.ndarray, constant: np.ndarray) -> np.ndarray:
+    """Which entry of each chunk's map applies, -1 where none does, by a parallel prefix scan.
+
+    Entry k of chunk i sends state domain[i, k] to end[i, k]; entry 0 of a
+    constant chunk takes any state.  Each chunk has a function from the entries
+    of its predecessor to its own; in round d it is composed with the function
+    of the 2^d chunks before, so that in the end it starts at the first chunk.
+    """
+    n, k = domain.shape
+    meets = (domain[1:, None, :] == end[:-1, :, None]) & (end[:-1, :, None] >= 0)
+    f = np.full((n, k + 1), k)  # entry k: not known
+    f[1:, :k] = np.where(meets.any(axis=2), meets.argmax(axis=2), k)
+    f[constant] = 0
+    d = 1
+    while d < n:
+        f[d:] = np.take_along_axis(f[d:], f[:-d], axis=1)
+        d *= 2
+    return np.where(f[:, 0] == k, -1, f[:, 0])
 
 
 _compiled: dict[int, Transducer] = {}
@@ -355,12 +443,15 @@ def compiled(vocabulary: bytes) -> Transducer:
     return _compiled[key]
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) for each row; see the module's docstring for nulls and empty texts."""
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, hashed: bool = False) -> DataFrame:
+    """(doc_id, n_tokens) for each row, with a text_hash if ``hashed``; see the module's docstring for nulls and empty texts."""
     with open(vocabulary, "rb") as f:
         shipped = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: it doesn't grow with the data
     rows = only(df, doc_id=id_col, text=text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    also = {"text_hash": "bigint"} if hashed else {}
+    if hashed:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(shipped.value)
@@ -370,6 +461,6 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, j in slices(texts):
                 out[i:j] = machine.count(pc.fill_null(texts.slice(i, j - i), "").to_pylist())
             n = pa.array(out, pa.int64(), mask=np.asarray(texts.is_null()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *(batch.column(c) for c in also)], names=["doc_id", "n_tokens", *also])
 
-    return rows.mapInArrow(count, f"doc_id {id_type}, n_tokens bigint")
+    return rows.mapInArrow(count, ", ".join([f"doc_id {id_type}, n_tokens bigint", *(f"{c} {t}" for c, t in also.items())]))

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import tiktoken
 
-from statforge.llm.tokens import DEFAULT_VOCABULARY, Transducer, token_counts
+from statforge.llm import tokens
+from statforge.llm.tokens import DEFAULT_VOCABULARY, Transducer, composed, token_counts
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -26,6 +27,35 @@ def test_counts_equal_those_of_the_encoder():
     assert machine.count(texts).tolist() == [len(encoder.encode_ordinary(t)) for t in texts]
 
 
+def test_dropping_the_automaton_changes_no_count(monkeypatch):
+    data, encoder = reference()
+    rnd = random.Random(7)
+    noise = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(30_000))
+    texts = [noise, "the quick brown fox " * 900, noise[:4000] + " x " + "don't " * 1500, "日本語のテキスト" * 1500, "", " " * 9000]
+    monkeypatch.setattr(tokens, "MOST_STATES", 300)
+    monkeypatch.setattr(tokens, "PART", 5000)
+    machine = Transducer(data)
+    assert machine.count(texts).tolist() == [len(encoder.encode_ordinary(t)) for t in texts]
+    assert len(machine.states) < 5000
+
+
+def test_maps_compose_like_a_chain():
+    rng = np.random.default_rng(3)
+    for n, k in ((1, 1), (2, 2), (37, 3), (64, 2)):
+        domain = np.array([rng.permutation(5)[:k] for _ in range(n)])
+        end, constant = rng.integers(-1, 5, (n, k)), rng.random(n) < 0.1
+        constant[0] = True
+        slot = 0
+        got = composed(domain, end, constant).tolist()
+        for i in range(n):
+            if constant[i]:
+                slot = 0
+            elif slot >= 0:
+                at = np.flatnonzero(domain[i] == end[i - 1, slot]) if end[i - 1, slot] >= 0 else []
+                slot = int(at[0]) if len(at) else -1
+            assert got[i] == slot
+
+
 def test_other_vocabulary():
     path = DEFAULT_VOCABULARY.replace("byte_bpe_50k", "byte_bpe_multi_50k")
     with open(path, "rb") as f:
