@@ -7,14 +7,15 @@ windows not counting; ties go to the fuller window.  N is kept in a level
 array, with a queue of windows for each level.  A document longer than a
 window first fills whole windows of its own; its rest is placed as above.
 
-Packing is online within a shard.  A shard holds about ``SHARD_ROWS``
-documents, chosen and ordered by hash, so shards are even at any size and
-waste at most a few windows each.
-
-Results: nulls, empty texts and texts without words have length 0 and take no
-room: they get no row.  Repeated rows are placed one by one, and rows with a
-null id like any others.  All copies of one row fall into one shard.
-``df`` is read twice: once to count its rows.
+Lengths are token counts.  Packing is online within a shard: documents are
+spread over ``shards`` by hash and come in the order of a hash.  Shards are even
+at any size and waste at most a few windows each; by default there is one for
+each ``SHARD_ROWS`` documents.
+
+Results: null and empty texts have length 0 and take no room: they get no row.
+Repeated rows are placed one by one, spread over all shards, and rows with a
+null id like any others.  Texts of any length are counted whole.  An empty
+table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import only
+from . import tokens
+from .tables import written
 
 WINDOW = 2048
 SHARD_ROWS = 50_000
 
 
-def words(text: F.Column) -> F.Column:
-    """Number of blank-separated words, the default length of a document."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
-
-
 def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces as (item, window number, start in the window, length)."""
     level = np.zeros(window + 1, np.int64)
@@ -73,14 +70,19 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.array(x, np.int64) for x in (item, at, begin, size))
 
 
-def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, piece, shard, window, begin, length): where each piece of each document goes."""
-    rows = only(df, doc_id=id_col, text=text_col)
-    total = df.select(F.col(f"`{id_col}`")).count()
-    shards = max(1, -(-total // shard_rows))
-    sized = rows.select("doc_id", words(F.col("text")).cast("int").alias("length"), F.xxhash64("doc_id", "text").alias("turn")).filter("length > 0")
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64("turn"), F.lit(shards)).cast("int"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+def packed(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_rows: int = SHARD_ROWS, shards: int | None = None, vocabulary: str = tokens.DEFAULT_VOCABULARY
+) -> DataFrame:
+    """(doc_id, piece, shard, window, begin, length): where each piece of each document goes, in tokens."""
+    counted = tokens.token_counts(df, id_col, text_col, vocabulary, hashed=True).filter("n_tokens > 0")
+    # equal rows are counted first and then numbered, so that none of them share a turn
+    sized = written(counted.groupBy("doc_id", "n_tokens", "text_hash").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    if shards is None:
+        shards = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // shard_rows))
+    each = sized.select("doc_id", F.col("n_tokens").cast("int").alias("length"), "text_hash", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy"))
+    turned = each.select("doc_id", "length", F.xxhash64("doc_id", "text_hash", "copy").alias("turn"))
+    placed = turned.withColumn("shard", F.pmod(F.xxhash64("turn"), F.lit(shards)).cast("int"))
+    id_type = sized.schema["doc_id"].dataType.simpleString()
 
     def pack(group: pa.Table) -> pa.Table:
         turn, n = group.column("turn").to_numpy(), group.column("length").to_numpy()

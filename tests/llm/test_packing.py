@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from statforge.llm.packing import packed, place
+from tests.llm.test_tokens import reference
 
 
 def naive(lengths, window):
@@ -61,15 +62,23 @@ def test_windows_hold_no_more_and_nothing_is_lost(make):
     for r in got:
         room[r.shard, r.window].append((r.begin, r.length))
         size[r.doc_id] += r.length
-    assert {i: t.count("w") for i, t in rows if t} == size
+    _, encoder = reference()
+    assert {i: len(encoder.encode_ordinary(t)) for i, t in rows if t} == size
+    assert {r.shard for r in got} == set(range(-(-len(size) // 100))) and {r.shard for r in packed(make(rows), shards=2).collect()} == {0, 1}
     for parts in room.values():
         parts.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[-1][0] + parts[-1][1] <= 512
     assert len(room) <= sum(size.values()) / 512 * 1.05 + 10
 
 
+def test_copies_of_a_row_spread_over_shards(make):
+    got = packed(make([(1, "one and the same text")] * 400), shards=8).collect()
+    assert len(got) == 400 and {r.shard for r in got} == set(range(8))
+
+
 def test_odd_rows(odd, empty):
     rows = packed(odd).collect()
-    assert sorted((str(r.doc_id) for r in rows if r.length < 2048)) == sorted(["1", "1", "None", "4", "6", "7", "8", "8"])
-    assert sum(r.length for r in rows if r.doc_id == 4) == 48000
+    assert sorted((str(r.doc_id) for r in rows if r.length < 2048)) == sorted(["1", "1", "None", "4", "5", "6", "7", "8", "8"])
+    _, encoder = reference()
+    assert sum(r.length for r in rows if r.doc_id == 4) == max(len(encoder.encode_ordinary(r.text or "")) for r in odd.collect())
     assert packed(empty).count() == 0
