@@ -1,18 +1,24 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-A document's score is linear in bounded features of its text.  Labelled
-documents give preference pairs - one of good quality beats one of low quality
-- and the weights minimise the logistic loss of the score differences.  A
-document is kept if its score is above a score quantile: the level is the share
-of low quality among all labels (less ``SPARE``), the scores those of all
-labelled documents.
+A document's score is linear in features of its text: the shares of hashed
+three-byte sequences, of which all are learned alike, and four of its shape
+(repeated and distinct words, mean word length, length).  Labelled documents
+give preference pairs - one of good quality beats one of low quality - and the
+weights minimise the logistic loss of the score differences.  A document is
+kept if its score is above a score quantile: the level is the share of low
+quality among all labels (less ``SPARE``), the scores those of all labelled
+documents.  The quantile is found among a rank error of 1 / 100,000.
 Only the fit uses a bounded sample (``fit_rows`` labels of each class, those
-of the smallest id hashes).
+of the smallest id hashes).  Weights are fixed-point numbers, so that a
+score doesn't depend on the texts beside it.
 
 Results: a text that is null or holds no word has a null score and is
 rejected.  Without labels of both classes nothing is learned: scores are 0 and
-every text with a word is kept.  Labels that are null or of unknown documents
-are ignored, repeated ones count again.
+every text with a word is kept; so it is where all scores are equal.  Labels
+that are null or of unknown documents are ignored, repeated ones count again.
+Texts of any length are read whole.  Rows of one id and several texts are
+labelled alike.  An empty table gives an empty one.  Other columns may have
+any names: ``judged`` ignores them and ``filtered`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -30,71 +36,68 @@ from .tables import only, written
 from .textops import Words, buffers, slices
 
 #: Labels of each class that the fit may use.
-FIT_ROWS = 10_000
+FIT_ROWS = 5_000
 PAIRS_PER_ROW = 8
 #: The quantile's level is the share of low quality less this part of it, so that wrong labels cost no clean document.
 SPARE = 0.02
-
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LOWER = np.zeros(256, bool)
-_LOWER[97:123] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_ODD = np.zeros(256, bool)
-_ODD[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
-FEATURES = 13
+GRAMS, SHAPES = 1024, 4
+FEATURES = GRAMS + SHAPES
+#: Shares of byte sequences are small: so many times them are features.
+SCALE = 32.0
+_ONE = float(1 << 40)
+#: Up to this many labelled ids are broadcast to pick their texts; beyond it all texts are scored.
+BROADCAST_IDS = 500_000
+
+
+def shapes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Share of words that repeat the last one, share of distinct words, mean word length and length of each text, all bounded; and a mask of texts with any word."""
+    words = Words(texts)
+    _, off = buffers(texts)
+    n = np.diff(words.off).astype(float)
+    count = np.maximum(n, 1)
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mask)])
+        return (total[words.off[1:]] - total[words.off[:-1]]).astype(float)
+
+    h, owner = words.hash, words.doc()
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+    order = np.lexsort((h, owner))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    distinct = per_text(fresh)
+    out = np.stack([np.tanh(4 * per_text(again) / count), np.minimum(1, distinct / count**0.75), np.tanh(np.diff(off) / count / 10), np.log1p(n) / 12], axis=1)
+    return out, n > 0
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the three bytes from each place on, a mask of places that begin such three, and the texts' offsets."""
+    raw, off = buffers(texts)
+    x = raw.astype(np.uint32)
+    h = x * np.uint32(0x9E3779B1)
+    h[:-1] ^= x[1:] * np.uint32(0x85EBCA6B)
+    h[:-2] ^= x[2:] * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    whole = np.ones(len(raw), bool)
+    for back in (1, 2):
+        at = off[1:] - back
+        whole[at[at >= off[:-1]]] = False
+    return (h >> np.uint32(22)).astype(np.int64), whole, off
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bounded features of each text, and a mask of texts with any word."""
-    out, has = np.zeros((len(texts), FEATURES)), np.zeros(len(texts), bool)
+    """All features of each text, and a mask of texts with any word."""
+    out, has = np.zeros((len(texts), FEATURES), np.float32), np.zeros(len(texts), bool)
     for i, j in slices(texts):
         part = texts.slice(i, j - i)
-        raw, off = buffers(part)
-        words = Words(part)
-        n = np.diff(words.off).astype(float)
-        size = np.maximum(np.diff(off), 1).astype(float)
-
-        def per_text(mask: np.ndarray, edges: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(mask)])
-            return (total[edges[1:]] - total[edges[:-1]]).astype(float)
-
-        upper, odd, stop = (per_text(t[raw], off) for t in (_UPPER, _ODD, _STOP))
-        letters = np.maximum(upper + per_text(_LOWER[raw], off), 1)
-        count = np.maximum(n, 1)
-        again = np.zeros(len(words.hash), bool)
-        if len(again):
-            again[1:] = words.hash[1:] == words.hash[:-1]
-            again[words.off[:-1][words.off[:-1] < len(again)]] = False
-        repeats = per_text(again, words.off) / count
-        owner = words.doc()
-        order = np.lexsort((words.hash, owner))
-        fresh = np.ones(len(order), bool)
-        if len(order):
-            h, d = words.hash[order], owner[order]
-            fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        distinct = per_text(fresh, words.off)
-        length = per_text(np.ones(len(raw), bool), off) / count
-        pipes = per_text(raw == ord("|"), off) / count
-        expected = np.minimum(1, distinct / np.maximum(1, count**0.75))
-        x = out[i:j]
-        x[:, 0] = upper / letters
-        x[:, 1] = np.tanh(6 * np.maximum(0, upper / letters - 0.1))
-        x[:, 2] = np.tanh(10 * odd / size)
-        x[:, 3] = np.tanh(100 * odd / size)
-        x[:, 4] = np.tanh(4 * pipes)
-        x[:, 5] = np.tanh(4 * repeats)
-        x[:, 6] = np.tanh(40 * np.maximum(0, repeats - 0.03))
-        x[:, 7] = expected
-        x[:, 8] = np.tanh(length / 10)
-        x[:, 9] = np.tanh(20 * per_text(_DIGIT[raw], off) / size)
-        x[:, 10] = np.log1p(n) / 12
-        x[:, 11] = np.tanh(2 * stop / count)
-        x[:, 12] = distinct / count
-        has[i:j] = n > 0
+        out[i:j, :SHAPES], has[i:j] = shapes(part)
+        bucket, whole, off = grams(part)
+        n = np.diff(off)
+        key = (np.repeat(np.arange(j - i), n) * GRAMS + bucket)[whole]
+        share = np.bincount(key, minlength=(j - i) * GRAMS).reshape(j - i, GRAMS)
+        out[i:j, SHAPES:] = SCALE * share / np.maximum(n - 2, 1)[:, None]
     return out, has
 
 
@@ -106,32 +109,57 @@ class Ranking:
     threshold: float = float("-inf")
 
 
-def fit_pairs(x: np.ndarray, good: np.ndarray, ridge: float = 1e-4, seed: int = 7) -> tuple[float, ...]:
-    """Bradley-Terry weights from rows x with good (True/False), by Newton steps on pair differences."""
+def fit_pairs(x: np.ndarray, good: np.ndarray, ridge: float = 1e-4, seed: int = 7, rounds: int = 200) -> tuple[float, ...]:
+    """Bradley-Terry weights from rows x with good (True/False), by limited-memory quasi-Newton steps on the pairs' loss."""
     winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(winners) or not len(losers):
         return (0.0,) * x.shape[1]
-    rng = np.random.default_rng(seed)
-    m = PAIRS_PER_ROW * max(len(winners), len(losers))
-    d = x[winners[rng.permutation(m) % len(winners)]] - x[losers[rng.permutation(m) % len(losers)]]
-    w = np.zeros(x.shape[1])
+    win, lose = pairs_of(winners, losers, seed)
+    m, n = len(win), len(x)
+
+    def slope(v: np.ndarray) -> tuple[float, np.ndarray]:
+        s = x @ v
+        d = s[win] - s[lose]
+        p = 1 / (1 + np.exp(np.clip(d, -500, 500)))
+        c = (np.bincount(lose, p, n) - np.bincount(win, p, n)) / m
+        return float(np.logaddexp(0, -d).mean() + ridge / 2 * v @ v), x.T @ c + ridge * v
 
-    def loss(v: np.ndarray) -> float:
-        return float(np.logaddexp(0, -d @ v).mean() + ridge / 2 * v @ v)
-
-    for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        grad = -(d * p[:, None]).mean(axis=0) + ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-        step, scale, now = np.linalg.solve(hess, grad), 1.0, loss(w)
-        while loss(w - scale * step) > now and scale > 1e-6:
-            scale /= 2
-        w = w - scale * step
-        if np.abs(scale * step).max() < 1e-8:
+    w = np.zeros(x.shape[1])
+    loss, grad = slope(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        step, kept = -grad, []
+        for s, y in reversed(past):
+            a = s @ step / (s @ y)
+            step = step - a * y
+            kept.append(a)
+        if past:
+            s, y = past[-1]
+            step = step * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(kept)):
+            step = step + (a - y @ step / (s @ y)) * s
+        size, down = 1.0, grad @ step
+        while True:
+            after, turned = slope(w + size * step)
+            if after <= loss + 1e-4 * size * down or size < 1e-8:
+                break
+            size /= 2
+        s, y = size * step, turned - grad
+        w, loss, grad = w + s, after, turned
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y)]
+        if np.abs(grad).max() < 1e-6 or size < 1e-8:
             break
     return tuple(float(v) for v in w)
 
 
+def pairs_of(winners: np.ndarray, losers: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The preference pairs of a fit: each row of the larger class in PAIRS_PER_ROW of them."""
+    rng = np.random.default_rng(seed)
+    m = PAIRS_PER_ROW * max(len(winners), len(losers))
+    return winners[rng.permutation(m) % len(winners)], losers[rng.permutation(m) % len(losers)]
+
+
 def scored(df: DataFrame, weights: tuple[float, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each row."""
     rows = only(df, doc_id=id_col, text=text_col)
@@ -145,8 +173,19 @@ def scored(df: DataFrame, weights: tuple[float, ...], id_col: str = "doc_id", te
 
 
 def score_array(texts: pa.Array, weights: tuple[float, ...]) -> pa.Array:
-    x, has = features(texts)
-    return pa.array(np.round(x @ np.array(weights), 9), pa.float64(), mask=~has)
+    w = np.array(weights)
+    fixed = np.round(w[SHAPES:] * SCALE * _ONE / (1 << 10)).astype(np.int64)
+    out, has = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for i, j in slices(texts):
+        part = texts.slice(i, j - i)
+        shape, has[i:j] = shapes(part)
+        bucket, whole, off = grams(part)
+        gain = fixed[bucket]
+        gain[~whole] = 0
+        total = np.concatenate([[0], np.cumsum(gain)])
+        mean = (total[off[1:]] - total[off[:-1]]) / np.maximum(np.diff(off) - 2, 1) * ((1 << 10) / _ONE)
+        out[i:j] = (shape * w[:SHAPES]).sum(axis=1) + mean
+    return pa.array(np.round(out, 9), pa.float64(), mask=~has)
 
 
 def fit(
@@ -162,23 +201,23 @@ def fit(
     marks = only(labels, doc_id=label_id, good=label_col).filter("doc_id is not null and good is not null").withColumn("good", F.col("good") > 0)
     sample = None
     for side in (True, False):
-        part = marks.filter(F.col("good") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+        part = marks.filter(F.col("good") == side).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(fit_rows)
         sample = part if sample is None else sample.unionByName(part)
-    texts = only(df, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("good", "text")  # at most 2 * fit_rows rows
+    texts = only(df, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("good", F.xxhash64("turn", "text").alias("turn"), "text")  # at most 2 * fit_rows rows
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, has = features(batch.column("text"))
-            x, good = x[has], pc.filter(batch.column("good"), pa.array(has))
+            x, keep = x[has], pa.array(has)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
-            yield pa.RecordBatch.from_arrays([good, pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], names=["good", "x"])
+            columns = [*(pc.filter(batch.column(c), keep) for c in ("good", "turn")), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["good", "turn", "x"])
 
-    rows = texts.mapInArrow(measure, "good boolean, x array<double>").toPandas()
+    rows = texts.mapInArrow(measure, "good boolean, turn bigint, x array<float>").toPandas()
     if not len(rows):
         return (0.0,) * FEATURES
-    x, good = np.stack(rows["x"].to_numpy()), rows["good"].to_numpy(bool)
-    order = np.lexsort((*x.T, good))  # the same fit in whatever order the rows arrive
-    return fit_pairs(x[order], good[order])
+    rows = rows.sort_values(["turn", "good"], kind="stable")  # the same fit in whatever order the rows arrive
+    return fit_pairs(np.stack(rows["x"].to_numpy()), rows["good"].to_numpy(bool))
 
 
 def threshold(scores: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> float:
@@ -206,7 +245,12 @@ def judged(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFr
 
 def filtered(df: DataFrame, labels: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``df`` that are kept, all columns as they are."""
-    model, _ = ranking(df, labels, fit_rows)
+    weights = fit(df, labels, text_col=text_col, fit_rows=fit_rows)
+    ids = only(labels, doc_id="doc_id", good="quality").filter("doc_id is not null and good is not null").select("doc_id").distinct()
+    some = only(df, doc_id="doc_id", text=text_col)
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        some = some.join(F.broadcast(ids), "doc_id", "left_semi")
+    model = Ranking(weights, threshold(written(scored(some, weights), "scores"), labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

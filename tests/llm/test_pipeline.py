@@ -6,7 +6,6 @@ import struct
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 
@@ -15,7 +14,8 @@ from statforge.llm import mixing, packing, privacy, quality
 from tests.llm.test_neardup import brute as brute_pairs
 from tests.llm.test_neardup import groups
 from tests.llm.test_packing import naive
-from tests.llm.test_quality import texts
+from tests.llm.test_quality import plain_score, texts
+from tests.llm.test_tokens import reference
 
 
 @pytest.fixture(scope="module")
@@ -32,17 +32,13 @@ def folder(tmp_path_factory, spark, make):
     return path, rows, labels
 
 
-def plain(rows, labels):
-    x, has = quality.features(pa.array([t for _, t, _ in rows]))
+def plain(rows, labels, weights):
     good = {i: g > 0 for i, g, _ in labels}
-    known = [k for k, (i, _, _) in enumerate(rows) if i in good]
-    xs, gs = x[known], np.array([good[rows[k][0]] for k in known])
-    order = np.lexsort((*xs.T, gs))
-    w = np.array(quality.fit_pairs(xs[order], gs[order]))
-    score = np.round(x @ w, 9)
-    level = (~gs).mean() * (1 - quality.SPARE)
-    bar = sorted(score[known])[max(0, int(np.ceil(level * len(known))) - 1)]
-    rows = [r for r, s, h in zip(rows, score, has) if h and s > bar]
+    score = [plain_score(t, weights) for _, t, _ in rows]
+    known = [s for (i, _, _), s in zip(rows, score) if i in good]
+    level = np.mean([not g for g in good.values()]) * (1 - quality.SPARE)
+    bar = sorted(known)[max(0, int(np.ceil(level * len(known))) - 1)]
+    rows = [r for r, s in zip(rows, score) if s > bar + 1e-8]
     after_quality = {r[0] for r in rows}
     keep = set(groups([r[0] for r in rows], brute_pairs(rows)).values())
     rows = [r for r in rows if r[0] in keep]
@@ -57,18 +53,31 @@ def plain(rows, labels):
         own = hashlib.md5(f"{mixing.SEED}|{i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
         mixed += [(i, t)] * mixing.poisson_count((int(own[:13], 16) + 0.5) / 16**13, mean)
 
-    def turn(i, t):
-        h = xxhash.xxh64(t.encode(), seed=xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()).intdigest()
+    def hashed(text):
+        h = xxhash.xxh64(text.encode(), seed=42).intdigest()
         return h - (h >> 63 << 64)
 
-    mixed.sort(key=lambda r: (turn(*r), len(r[1].split())))
-    places = naive([len(t.split()) for _, t in mixed], packing.WINDOW)
+    _, encoder = reference()
+    rows, copies = [], Counter()
+    for i, t in mixed:
+        copies[i, t] += 1
+        turn = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        for x in (hashed(t), copies[i, t]):
+            turn = xxhash.xxh64(struct.pack("<q", x), seed=turn).intdigest()
+        rows.append((turn - (turn >> 63 << 64), len(encoder.encode_ordinary(t)), i))
+    rows.sort()
+    mixed = [(i, n) for _, n, i in rows]
+    places = naive([n for _, n in mixed], packing.WINDOW)
     return after_quality, keep, Counter((mixed[k][0], w, b, n) for k, w, b, n in places)
 
 
+def weights_of(spark, path):
+    return quality.fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+
+
 def test_whole_pipeline(spark, folder):
     path, rows, labels = folder
-    after_quality, keep, want = plain(rows, labels)
+    after_quality, keep, want = plain(rows, labels, weights_of(spark, path))
     got = corpus_pipeline.run(spark, path).collect()
     assert len(after_quality) > 100 and len(keep) < len(after_quality)
     assert Counter((r.doc_id, r.window, r.begin, r.length) for r in got) == want
@@ -76,7 +85,7 @@ def test_whole_pipeline(spark, folder):
 
 def test_each_stage(spark, folder):
     path, rows, labels = folder
-    after_quality, keep, _ = plain(rows, labels)
+    after_quality, keep, _ = plain(rows, labels, weights_of(spark, path))
     docs = spark.read.parquet(f"{path}/documents.parquet")
     columns = docs.columns
     seen = []
