@@ -26,7 +26,7 @@ def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def poisson_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).drop("_copy", "_order")
+    return mixing.mixed(docs, numbered=False)
 
 
 def sum_of_squares_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
