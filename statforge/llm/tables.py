@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statforge.sources.shipping import ship
+from statforge.sources.store import table, written
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="statforge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    The plan behind it runs once, and a lost executor costs a reread instead
-    of the whole lineage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/statforge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["only", "table", "written"]
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
