@@ -19,6 +19,10 @@ from ..functions import vec
 from .moments import summed
 
 
+#: Up to so many terms are unrolled into generated code; more go through array functions.
+UNROLLED = 256
+
+
 @dataclass(frozen=True)
 class NaiveBayes:
     """Scoring that the three kinds share: the class of the greatest joint log likelihood."""
@@ -36,17 +40,24 @@ class NaiveBayes:
     def joint(self) -> list[Column]:
         raise NotImplementedError
 
+    def joint_array(self) -> Column:
+        """The same as one array, in the order of the classes."""
+        return F.array(*self.joint())
+
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        return df.withColumn(name, vec.argmax(self.joint(), self.classes))
+        if len(self.features) * len(self.classes) <= UNROLLED:
+            return df.withColumn(name, vec.argmax(self.joint(), self.classes))
+        joint = df.withColumn("_joint", self.joint_array())
+        best = F.array_position("_joint", F.array_max("_joint")).cast("int")
+        return joint.withColumn(name, F.element_at(F.array(*[F.lit(c) for c in self.classes]), best)).drop("_joint")
 
     def predict_log_proba(self, df: DataFrame, name: str = "log_proba") -> DataFrame:
         """An array in the order of the sorted classes; shifted sums, so that nothing underflows."""
-        joint = df.withColumn("_joint", F.array(*self.joint()))
-        norm = vec.log_sum_exp(F.col("_joint"))
-        return joint.withColumn(name, F.transform("_joint", lambda j: j - norm)).drop("_joint")
+        shifted = F.transform(F.array(self.joint_array()), lambda js: F.transform(js, lambda j: j - vec.log_sum_exp(js)))  # the joint array is computed once
+        return df.withColumn(name, shifted[0])
 
     def predict_proba(self, df: DataFrame, name: str = "proba") -> DataFrame:
-        return df.withColumn("_joint", F.array(*self.joint())).withColumn(name, vec.softmax(F.col("_joint"))).drop("_joint")
+        return df.withColumn(name, F.transform(F.array(self.joint_array()), vec.softmax)[0])
 
 
 @dataclass(frozen=True)
@@ -54,6 +65,19 @@ class GaussianNB(NaiveBayes):
     means: dict = field(default_factory=dict)
     variances: dict = field(default_factory=dict)
 
+    def joint_array(self) -> Column:
+        if len(self.features) * len(self.classes) <= UNROLLED:
+            return super().joint_array()
+        x = F.array(*vec.columns(self.features))
+
+        def numbers(rows: list) -> Column:
+            return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in rows])
+
+        means, halves = numbers([self.means[c] for c in self.classes]), numbers([2 * self.variances[c] for c in self.classes])
+        const = F.array(*[F.lit(math.log(self.prior(c)) - 0.5 * float(np.log(2 * math.pi * self.variances[c]).sum())) for c in self.classes])
+        far = F.transform(F.arrays_zip(means.alias("m"), halves.alias("h")), lambda p: F.zip_with(F.zip_with(x, p["m"], lambda a, b: a - b), p["h"], lambda d, h: d * d / h))
+        return F.zip_with(const, far, lambda c, d: c - F.aggregate(d, F.lit(0.0), lambda s, v: s + v))
+
     def joint(self) -> list[Column]:
         x = vec.columns(self.features)
         out = []

@@ -10,6 +10,7 @@ from itertools import count as counting
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import drawn
 from ..errors import MismatchedShapes, require
 from .rows import indexed
 
@@ -136,7 +137,7 @@ class Dataset:
 
     def shuffle(self, seed: int = 42) -> Dataset:
         """The rows in the order of a hash; names stay and weights are dropped."""
-        mixed = self.df.withColumn("_turn", F.xxhash64(self.row_id, F.lit(seed))).withColumnRenamed(self.row_id, "_old")
+        mixed = self.df.withColumn("_turn", drawn(F.col(self.row_id), seed)).withColumnRenamed(self.row_id, "_old")
         return replace(self, df=indexed(mixed, ["_turn", "_old"], self.row_id).drop("_turn", "_old"), weight=None)
 
     def _folds(self, k: int, size: int) -> Iterator[tuple[Dataset, Dataset]]:
@@ -169,14 +170,14 @@ class Dataset:
         """``rows`` rows; _source is the row that each was drawn from."""
         n = self.nsamples()
         spark = self.df.sparkSession
-        picks = spark.range(rows).select(F.col("id").alias("_new"), F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.col("id")), F.lit(n)).alias("_source"))
+        picks = spark.range(rows).select(F.col("id").alias("_new"), F.pmod(drawn(seed, turn, F.col("id")), F.lit(n)).alias("_source"))
         joined = picks.join(self.df, F.col("_source") == F.col(self.row_id))
         return joined.drop(self.row_id).withColumnRenamed("_new", self.row_id)
 
     def _picked_features(self, size: int, seed: int, turn: int) -> list[int]:
         """Feature places drawn by a hash; one may come twice."""
         m = len(self.features)
-        row = self.df.sparkSession.range(size).select(F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(turn), F.col("id")), F.lit(m)).alias("f"), "id")
+        row = self.df.sparkSession.range(size).select(F.pmod(drawn(seed + 1, turn, F.col("id")), F.lit(m)).cast("int").alias("f"), "id")
         return [r[0] for r in row.orderBy("id").collect()]
 
     def _with_picked(self, df: DataFrame, picked: Sequence[int]) -> Dataset:

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import uniform_number
 from ..errors import InvalidParameter, NotConverged, NotEnoughSamples, TooLarge, require
 from ..functions import vec
 from .moments import moments, summed, with_numbers
@@ -93,11 +94,11 @@ def random_projection(df: DataFrame, features: Sequence[str], kind: str = "gauss
     require(dimensions > 0, "there is at least one dimension")
     d = len(features)
     require(dimensions <= d, f"{dimensions} dimensions are more than the {d} there are")
-    rng = np.random.default_rng(seed)
+    u = np.array([[[uniform_number(seed, i, j, k) for k in range(2)] for j in range(dimensions)] for i in range(d)]).reshape(d, dimensions, 2)
     if kind == "gaussian":
-        m = rng.normal(0, 1 / math.sqrt(d), (d, dimensions))
+        m = np.sqrt(-2 * np.log(u[..., 0])) * np.cos(2 * np.pi * u[..., 1]) / math.sqrt(d)
     else:
-        m = np.where(rng.random((d, dimensions)) < 1 / math.sqrt(d), np.where(rng.random((d, dimensions)) < 0.5, 1, -1) * math.sqrt(d), 0.0)
+        m = np.where(u[..., 0] < 1 / math.sqrt(d), np.where(u[..., 1] < 0.5, 1, -1) * math.sqrt(d), 0.0)
     return Projection(tuple(features), m)
 
 

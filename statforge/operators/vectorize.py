@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import require
 from ..functions import text as tx
 from ..sources.files import text_files
+from ..sources.store import written
 
 #: Vocabularies of up to this many terms are broadcast to the documents; larger ones are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -61,7 +62,10 @@ class CountVectorizer:
             found = found.filter(~F.col("term").isin(list(self.stopwords)))
         if self.max_features is not None:
             found = found.orderBy(F.desc("df"), F.desc("term")).limit(self.max_features)
-        return Vocabulary(self, found)
+            return Vocabulary(self, written(found, "vocabulary"))
+        if (low, high) != (0.0, 1.0) or self.stopwords:
+            return Vocabulary(self, written(found, "vocabulary"))
+        return Vocabulary(self, found, df, text_col)
 
     def fit_vocabulary(self, df: DataFrame, words: Sequence[str]) -> Vocabulary:
         """Fixed words, whatever the documents hold."""
@@ -79,6 +83,9 @@ class Vocabulary:
 
     how: CountVectorizer
     terms: DataFrame
+    #: Set if all terms of these texts count: they needn't be looked up when the same table is transformed.
+    whole: DataFrame | None = None
+    whole_col: str = ""
 
     def words(self) -> DataFrame:
         return self.terms.select("term", "df")
@@ -90,7 +97,9 @@ class Vocabulary:
         """(id, term, tf): counts of the vocabulary's terms."""
         all_terms = df.select(F.col(f"`{id_col}`").alias(id_col), F.explode(self.how.terms(F.col(f"`{text_col}`"))).alias("term"))
         counted = all_terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-        known = self.terms.select("term")
+        if df is self.whole and text_col == self.whole_col:
+            return counted
+        known = written(self.terms.select("term"), "terms") if self.whole is not None else self.terms.select("term")
         if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
             known = F.broadcast(known)
         return counted.join(known, "term", "left_semi").select(id_col, "term", "tf")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, scaling
+from ..functions.hashing import drawn_number, drawn_sql, normal_sql, uniform_sql
+from ..operators import metrics, reduction, scaling
 from ..operators.dataset import Dataset
 from ..operators.linear import ols
 from ..operators.vectorize import CountVectorizer, tf_idf
@@ -74,6 +76,47 @@ for _kind in ("pca", "zca"):
         lambda spark, sf_dir, k=_kind: scaling.whitener(table(spark, sf_dir, "lineitem"), LINE, k).transform(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINE))
     )
 
+_PAIR = "r as (select l_orderkey, l_linenumber, l_quantity as x, l_extendedprice / 1000 as y from lineitem), m as (select avg(x) as mx, avg(y) as my, var_samp(x) as a, covar_samp(x, y) as b, var_samp(y) as c from r)"
+_EIGEN = _PAIR + """, l as (select *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) as l0, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) as l1 from m),
+v as (select *, b / sqrt(b * b + (l0 - a) ** 2) as u, (l0 - a) / sqrt(b * b + (l0 - a) ** 2) as w from l)"""
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+
+
+@BOOK.add(
+    "whitening_zca_pair",
+    f"""
+with {_PAIR}, t as (select *, sqrt(a * c - b * b) as s, sqrt(a + c + 2 * sqrt(a * c - b * b)) as q from m),
+-- the inverse root of [[a, b], [b, c]] is q times the inverse of [[a + s, b], [b, c + s]]
+i as (select *, q / ((a + s) * (c + s) - b * b) as f from t)
+select l_orderkey, l_linenumber, round(f * ((c + s) * (x - mx) - b * (y - my)), 6) + 0.0 as x, round(f * ((a + s) * (y - my) - b * (x - mx)), 6) + 0.0 as y from r, i
+""",
+)
+def whitening_zca_pair(spark, sf_dir):
+    df = _pair(spark, sf_dir)
+    return rounded(scaling.whitener(df, ["x", "y"], "zca").transform(df), ["x", "y"])
+
+
+@BOOK.add(
+    "whitening_pca_pair",
+    f"with {_EIGEN} select l_orderkey, l_linenumber, round(abs(u * (x - mx) + w * (y - my)) / sqrt(l0), 6) + 0.0 as x, round(abs(w * (x - mx) - u * (y - my)) / sqrt(l1), 6) + 0.0 as y from r, v",
+)
+def whitening_pca_pair(spark, sf_dir):
+    """Components by falling variance, without their signs."""
+    df = _pair(spark, sf_dir)
+    out = scaling.whitener(df, ["x", "y"], "pca").transform(df)
+    return rounded(out.withColumns({c: F.abs(c) for c in ("x", "y")}), ["x", "y"])
+
+
+@BOOK.add("pca_pair", f"with {_EIGEN} select l_orderkey, l_linenumber, round(abs(u * (x - mx) + w * (y - my)), 5) + 0.0 as pc0, round(abs(w * (x - mx) - u * (y - my)), 5) + 0.0 as pc1 from r, v")
+def pca_pair(spark, sf_dir):
+    """Projections on both components, without their signs."""
+    df = _pair(spark, sf_dir)
+    out = reduction.pca(df, ["x", "y"], 2).transform(df)
+    return rounded(out.select("l_orderkey", "l_linenumber", F.abs("pc0").alias("pc0"), F.abs("pc1").alias("pc1")), ["pc0", "pc1"], 5)
+
 
 # Dataset transforms
 
@@ -146,25 +189,36 @@ def feature_iter(spark, sf_dir):
     return Dataset(table(spark, sf_dir, "part"), ("p_size", "p_retailprice"), row_id="p_partkey").long_features()
 
 
-@BOOK.add("shuffle")
+_PLACED = "with r as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as pos from orders), n as (select count(*) as n from orders)"
+
+
+@BOOK.add("shuffle", _PLACED + f" select row_number() over (order by {drawn_sql('pos', 42)}, pos) - 1 as row_id, o_orderkey from r")
 def shuffle(spark, sf_dir):
     return _orders(spark, sf_dir).shuffle().df.select("row_id", "o_orderkey")
 
 
-@BOOK.add("bootstrap")
+_PICKED = [("p_size", "p_retailprice")[drawn_number(43, 0, i) % 2] for i in range(3)]
+
+
+@BOOK.add(
+    "bootstrap",
+    "with r as (select *, row_number() over (order by p_partkey) - 1 as pos, count(*) over () as n from part), "
+    f"d as (select k as row_id, {drawn_sql(42, 0, 'k')} % n as source from (select any_value(n) as n from r), lateral (select unnest(range(n)) as k)) "
+    + f"select row_id, source, {', '.join(f'{c} as {c}__{i}' for i, c in enumerate(_PICKED[:2]))} from d join r on source = pos",
+)
 def bootstrap(spark, sf_dir):
     ds = Dataset.of(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"], ["p_brand"], order=["p_partkey"])
     sample, _ = next(ds.bootstrap(ds.nsamples(), 2))
     return sample.df.select("row_id", "_source", *sample.features).withColumnRenamed("_source", "source")
 
 
-@BOOK.add("bootstrap_samples")
+@BOOK.add("bootstrap_samples", _PLACED + f", d as (select k as row_id, {drawn_sql(42, 0, 'k')} % n as source from n, lateral (select unnest(range(n)) as k)) select row_id, o_orderkey, o_totalprice from d join r on source = pos")
 def bootstrap_samples(spark, sf_dir):
     ds = _orders(spark, sf_dir)
     return next(ds.bootstrap_samples(ds.nsamples())).df.select("row_id", "o_orderkey", "o_totalprice")
 
 
-@BOOK.add("bootstrap_features")
+@BOOK.add("bootstrap_features", f"select p_partkey, {', '.join(f'{c} as {c}__{i}' for i, c in enumerate(_PICKED))} from part")
 def bootstrap_features(spark, sf_dir):
     ds = Dataset(table(spark, sf_dir, "part"), ("p_size", "p_retailprice"), row_id="p_partkey")
     sample, _ = next(ds.bootstrap_features(3))
@@ -196,24 +250,53 @@ def cross_validate(spark, sf_dir):
 
 @BOOK.add("csv_gz_scan", "select o_orderkey::double as o_orderkey, o_totalprice from orders")
 def csv_gz_scan(spark, sf_dir):
-    path = f"{shared_dir(spark)}/statforge-csv-orders"
-    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").write.option("header", True).option("compression", "gzip").csv(path)
     return files.csv_table(spark, path, ["o_orderkey", "o_totalprice"])
 
 
 @BOOK.add("text_files_scan", "select c_mktsegment as text, count(*) as n from customer group by 1")
 def text_files_scan(spark, sf_dir):
-    path = f"{shared_dir(spark)}/statforge-text-customer"
-    table(spark, sf_dir, "customer").select("c_mktsegment").coalesce(4).write.mode("overwrite").text(path)
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").select("c_mktsegment").coalesce(4).write.text(path)
     lines = files.text_files(spark, [path]).select(F.explode(F.split("text", "\n")).alias("text")).filter("text != ''")
     return lines.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
-BOOK.add("generate_blobs")(lambda spark, sf_dir: generate.blobs(spark, 500, [[0.0, 0.0], [5.0, 5.0], [-5.0, 5.0]]))
-BOOK.add("generate_dataset")(lambda spark, sf_dir: generate.make_dataset(spark, 1000, 4, 2))
-BOOK.add("generate_swissroll")(lambda spark, sf_dir: generate.swissroll(spark, 10.0, 1.0, 1000))
-BOOK.add("generate_rings")(lambda spark, sf_dir: generate.convoluted_rings(spark, [(0.0, 3.0), (10.0, 13.0)], 1000))
-BOOK.add("generate_rings2d")(lambda spark, sf_dir: generate.rings2d(spark, [(0.0, 3.0), (10.0, 13.0)], 1000))
+def _made(name: str, sql: str, make, columns: list[str]) -> None:
+    BOOK.add(name, sql)(lambda spark, sf_dir: rounded(make(spark), columns))
+
+
+_CENTRES = [[0.0, 0.0], [5.0, 5.0], [-5.0, 5.0]]
+_made(
+    "generate_blobs",
+    "with b as (select k as row_id, k // 500 as blob from range(1500) t(k)) select row_id, "
+    + ", ".join(f"round([{', '.join(str(c[j]) for c in _CENTRES)}][blob + 1] + {normal_sql(42, 'row_id', j)}, 6) + 0.0 as x{j}" for j in range(2))
+    + ", blob::integer as blob from b",
+    lambda spark: generate.blobs(spark, 500, _CENTRES),
+    ["x0", "x1"],
+)
+_made(
+    "generate_dataset",
+    "select k as row_id, " + ", ".join([f"round({uniform_sql(42, 'k', j)}, 6) + 0.0 as x{j}" for j in range(4)] + [f"round({uniform_sql(43, 'k', j)}, 6) + 0.0 as y{j}" for j in range(2)]) + " from range(1000) t(k)",
+    lambda spark: generate.make_dataset(spark, 1000, 4, 2),
+    ["x0", "x1", "x2", "x3", "y0", "y1"],
+)
+_made(
+    "generate_swissroll",
+    f"with p as (select k as row_id, 10 * {uniform_sql(42, 'k', 0)} as phi from range(1000) t(k)) select row_id, round(phi * cos(phi), 6) + 0.0 as x, round(phi * sin(phi), 6) + 0.0 as y, round(10 * {uniform_sql(42, 'row_id', 1)}, 6) as z from p",
+    lambda spark: generate.swissroll(spark, 10.0, 1.0, 1000),
+    ["x", "y", "z"],
+)
+_RINGS = [(0.0, 3.0), (10.0, 13.0)]
+_RINGED = f"with p as (select k as row_id, (k // 500)::integer as ring, 10 * (k // 500) + 3 * {uniform_sql(42, 'k', 0)} as r, 2 * pi() * {uniform_sql(42, 'k', 1)} as phi, 2 * pi() * {uniform_sql(42, 'k', 2)} as theta from range(1000) t(k))"
+_made(
+    "generate_rings",
+    _RINGED + " select row_id, round(r * sin(theta) * cos(phi), 6) + 0.0 as x, round(r * sin(theta) * sin(phi), 6) + 0.0 as y, round(r * cos(theta), 6) + 0.0 as z, ring from p",
+    lambda spark: generate.convoluted_rings(spark, _RINGS, 1000),
+    ["x", "y", "z"],
+)
+_made("generate_rings2d", _RINGED + " select row_id, round(r * cos(phi), 6) + 0.0 as x, round(r * sin(phi), 6) + 0.0 as y, ring from p", lambda spark: generate.rings2d(spark, _RINGS, 1000), ["x", "y"])
 
 
 # Text
@@ -239,6 +322,14 @@ def count_vectorizer_nfkd(spark, sf_dir):
     return CountVectorizer().fit(docs).transform(docs)
 
 
+@BOOK.add("count_files", f"select term, count(*) as tf from (select unnest(regexp_extract_all(lower(c_mktsegment), '{_WORD}')) as term from customer) group by 1")
+def count_files(spark, sf_dir):
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "customer").select("c_mktsegment").coalesce(4).write.text(path)
+    counted = _PLAIN.fit_files(spark, [path]).transform_files(spark, [path])
+    return counted.groupBy("term").agg(F.sum("tf").alias("tf"))
+
+
 @BOOK.add(
     "vocabulary_filtered",
     f"""

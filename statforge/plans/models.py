@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NotConverged
+from ..functions.hashing import normal_sql, uniform_sql
 from ..operators import bayes, clusters, compose, linear, neighbours, reduction, svm, trees
 from ..operators.dataset import Dataset
 from ..sources.store import table
@@ -37,7 +38,15 @@ for _metric, _dist in (("l2", _L2), ("l1", _L1), ("linf", _LINF), ("lp", _L3)):
         _D + f", p as (select a.vec_id as query, b.vec_id as id, {_dist} as distance from e a, e b), r as (select *, row_number() over (partition by query order by distance, id) as rank from p) select query, id, round(distance, 6) as distance, rank::integer as rank from r where rank <= 5",
     )(lambda spark, sf_dir, m=_metric: rounded(neighbours.k_nearest(_vectors(spark, sf_dir), _vectors(spark, sf_dir), 5, metric=m, p=3.0), ["distance"]))
 
-BOOK.add("k_nearest_wasserstein")(lambda spark, sf_dir: neighbours.k_nearest(_vectors(spark, sf_dir), _vectors(spark, sf_dir), 5, metric="wasserstein"))
+BOOK.add(
+    "k_nearest_wasserstein",
+    f"""
+with u as (select vec_id, j, sum(embedding[j]::double) over (partition by vec_id order by j) as c from embeddings, unnest(range(1, 65)) t(j)),
+e as materialized (select vec_id, list(c order by j) as v from u group by vec_id),
+p as (select a.vec_id as query, b.vec_id as id, {_L1} as distance from e a, e b), r as (select *, row_number() over (partition by query order by distance, id) as rank from p)
+select query, id, round(distance, 6) as distance, rank::integer as rank from r where rank <= 5
+""",
+)(lambda spark, sf_dir: rounded(neighbours.k_nearest(_vectors(spark, sf_dir), _vectors(spark, sf_dir), 5, metric="wasserstein"), ["distance"]))
 
 
 @BOOK.add("within_range", _D + f" select a.vec_id as query, b.vec_id as id, round({_L2}, 6) as distance from e a, e b where {_L2} < 1.0")
@@ -58,9 +67,14 @@ for _kind, _expr in (("gaussian", f"exp(-({_L2} ** 2) / 2.0)"), ("linear", "list
 
 @BOOK.add(
     "kernel_sparse",
-    _D + f""", p as (select a.vec_id as i, b.vec_id as j, {_L2} as d from e a, e b), r as (select i, j, row_number() over (partition by i order by d, j) as rank from p),
-g as (select i, j from r where rank <= 6 union select j, i from r where rank <= 6 union select vec_id, vec_id from e)
-select g.i, g.j, round(exp(-(p.d ** 2) / 2.0), 6) as value from g join p on g.i = p.i and g.j = p.j""",
+    f"""
+with e as materialized (select vec_id, embedding::double[] as v from embeddings),
+r as materialized (
+  select i, j, d from (select a.vec_id as i, b.vec_id as j, {_L2} as d, row_number() over (partition by a.vec_id order by {_L2}, b.vec_id) as rank from e a, e b) where rank <= 6
+),
+g as (select i, j, d from r union select j, i, d from r union select vec_id, vec_id, 0 from e)
+select i, j, round(exp(-(max(d) ** 2) / 2.0), 6) as value from g group by i, j
+""",
 )
 def kernel_sparse(spark, sf_dir):
     return rounded(neighbours.sparse_kernel(_vectors(spark, sf_dir), 5, "gaussian", 2.0), ["value"])
@@ -100,21 +114,22 @@ def silhouette(spark, sf_dir):
 # Clustering
 
 _K = 5
-_PART = dims(8)
+_PART = dims(64)
+_EIGHT = dims(8)
 _NEAR = _D + f""", c as (select vec_id as c, v from e order by vec_id limit {_K}),
-d as (select e.vec_id, c.c, c.v as cv, e.v as xv, list_sum(list_transform(list_zip(e.v[1:8], c.v[1:8]), lambda x: (x[1] - x[2]) ** 2)) as dist from e, c),
+d as (select e.vec_id, c.c, c.v as cv, e.v as xv, list_sum(list_transform(list_zip(e.v, c.v), lambda x: (x[1] - x[2]) ** 2)) as dist from e, c),
 n as (select vec_id, (row_number() over (partition by vec_id order by dist, c)) as r, dist, dense_rank() over (order by c) - 1 as k, xv from d)"""
 
 
 def _start(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    rows = embedded(spark, sf_dir, 8).orderBy("vec_id").select(*_PART).limit(_K).collect()
+    rows = embedded(spark, sf_dir).orderBy("vec_id").select(*_PART).limit(_K).collect()
     return np.array(rows, float)
 
 
 @BOOK.add("kmeans_predict", _NEAR + " select vec_id, k::integer as cluster, round(dist, 6) as distance from n where r = 1")
 def kmeans_predict(spark, sf_dir):
     model = clusters.KMeans(tuple(_PART), _start(spark, sf_dir), np.zeros(_K), 0.0, 0)
-    df = model.transform(model.predict(embedded(spark, sf_dir, 8), "cluster"))
+    df = model.transform(model.predict(embedded(spark, sf_dir), "cluster"))
     return rounded(df.select("vec_id", "cluster", "distance"), ["distance"])
 
 
@@ -125,11 +140,11 @@ def _centroids(spark: SparkSession, c: np.ndarray) -> DataFrame:
 @BOOK.add(
     "kmeans_lloyd_step",
     _NEAR + f""", u as (select k, xv as v from n where r = 1 union all select dense_rank() over (order by c) - 1, v from c),
-w as (select k, j, v[j + 1] as x from u, unnest(range(8)) t(j)) select k::integer as cluster, j::integer as place, round(avg(x), 6) + 0.0 as value from w group by k, j""",
+w as (select k, j, v[j + 1] as x from u, unnest(range(64)) t(j)) select k::integer as cluster, j::integer as place, round(avg(x), 6) + 0.0 as value from w group by k, j""",
 )
 def kmeans_lloyd_step(spark, sf_dir):
     try:
-        model = clusters.kmeans(embedded(spark, sf_dir, 8), _PART, _K, init=_start(spark, sf_dir), iterations=1)
+        model = clusters.kmeans(embedded(spark, sf_dir), _PART, _K, init=_start(spark, sf_dir), iterations=1)
     except NotConverged as e:
         model = e.model
     return _centroids(spark, model.centroids)
@@ -137,10 +152,35 @@ def kmeans_lloyd_step(spark, sf_dir):
 
 @BOOK.add(
     "kmeans_incremental_step",
-    _NEAR + ", w as (select k, j, xv[j + 1] as x from n, unnest(range(8)) t(j) where r = 1) select k::integer as cluster, j::integer as place, round(avg(x), 6) + 0.0 as value from w group by k, j",
+    _NEAR + ", w as (select k, j, xv[j + 1] as x from n, unnest(range(64)) t(j) where r = 1) select k::integer as cluster, j::integer as place, round(avg(x), 6) + 0.0 as value from w group by k, j",
 )
 def kmeans_incremental_step(spark, sf_dir):
-    model, _ = clusters.kmeans_update(None, embedded(spark, sf_dir, 8), _PART, _K, init=_start(spark, sf_dir))
+    model, _ = clusters.kmeans_update(None, embedded(spark, sf_dir), _PART, _K, init=_start(spark, sf_dir))
+    return _centroids(spark, model.centroids)
+
+
+@BOOK.add(
+    "kmeans_lloyd",
+    f"""
+with recursive e as (select vec_id, embedding::double[] as v from embeddings),
+f(i, k, c) as (
+  select 0, row_number() over (order by vec_id) - 1, v from (select vec_id, v from e order by vec_id limit {_K})
+  union all
+  select i + 1, k, list(x order by j) from (
+    select i, k, j, (sum(case when near = k then v[j] else 0 end) + any_value(c[j])) / (count(*) filter (where near = k) + 1) as x
+    from (select i, k, c, v, first_value(k) over (partition by i, vec_id order by list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) ** 2)), k) as near from f, e where i < 6), unnest(range(1, 65)) t(j)
+    group by i, k, j
+  ) group by i, k
+)
+select k::integer as cluster, (j - 1)::integer as place, round(c[j], 6) + 0.0 as value from f, unnest(range(1, 65)) t(j) where i = 6
+""",
+)
+def kmeans_lloyd(spark, sf_dir):
+    """Six rounds from a fixed start."""
+    try:
+        model = clusters.kmeans(embedded(spark, sf_dir), _PART, _K, init=_start(spark, sf_dir), iterations=6, tolerance=1e-300)
+    except NotConverged as e:
+        model = e.model
     return _centroids(spark, model.centroids)
 
 
@@ -152,14 +192,14 @@ def kmeans(spark, sf_dir):
 
 @BOOK.add("kmeans_plus_plus")
 def kmeans_plus_plus(spark, sf_dir):
-    return _centroids(spark, clusters.initial(embedded(spark, sf_dir, 8), _PART, _K, "plusplus", 42))
+    return _centroids(spark, clusters.initial(embedded(spark, sf_dir), _PART, _K, "plusplus", 42))
 
 
 @BOOK.add("gaussian_mixture")
 def gaussian_mixture(spark, sf_dir):
     df = embedded(spark, sf_dir, 8)
     try:
-        model = clusters.gaussian_mixture(df, _PART, 4, iterations=30)
+        model = clusters.gaussian_mixture(df, _EIGHT, 4, iterations=30)
     except NotConverged as e:
         model = e.model
     return model.predict(df, "cluster").select("vec_id", "cluster")
@@ -241,6 +281,28 @@ def elastic_net(spark, sf_dir):
     return listed(spark, list(zip(m.features, m.weights, m.z_score(), *m.confidence_95th().T)), "feature string, weight double, z double, low double, high double")
 
 
+@BOOK.add(
+    "elastic_net_weights",
+    _XY.replace("as y from", "as y, l_tax as x3 from")
+    .replace("with r", "with recursive r")
+    + """, m as (select avg(y) as my, count(*) as n from r),
+g as (select sum(x1 * x1) as a, sum(x1 * x2) as b, sum(x1 * x3) as c, sum(x2 * x2) as d, sum(x2 * x3) as e, sum(x3 * x3) as f, sum(x1 * (y - my)) as p, sum(x2 * (y - my)) as q, sum(x3 * (y - my)) as s,
+  any_value(n) * 0.5 * 0.3 as l1, any_value(n) * 0.5 * 0.7 as l2, any_value(my) as my from r, m),
+w(i, w1, w2, w3) as (
+  select 0, 0.0::double, 0.0::double, 0.0::double
+  union all
+  select i + 1, v1, v2, (sign(s - c * v1 - e * v2) * greatest(abs(s - c * v1 - e * v2) - l1, 0)) / (f + l2) from (
+    select *, (sign(q - b * v1 - e * w3) * greatest(abs(q - b * v1 - e * w3) - l1, 0)) / (d + l2) as v2 from (
+      select *, (sign(p - b * w2 - c * w3) * greatest(abs(p - b * w2 - c * w3) - l1, 0)) / (a + l2) as v1 from w, g where i < 500))
+),
+z as (select * from w where i = 500)
+select 'x1' as feature, round(w1, 6) + 0.0 as weight from z union all select 'x2', round(w2, 6) + 0.0 from z union all select 'l_tax', round(w3, 6) + 0.0 from z union all select 'intercept', round(my, 6) from m
+""",
+)
+def elastic_net_weights(spark, sf_dir):
+    return _weights(spark, linear.elastic_net(_xy(spark, sf_dir), ["x1", "x2", "l_tax"], "y", 0.5, 0.3, tolerance=0.0, iterations=2000))
+
+
 @BOOK.add("multi_task_elastic_net")
 def multi_task_elastic_net(spark, sf_dir):
     m = linear.multi_task_elastic_net(_xy(spark, sf_dir), ["x1", "x2"], ["y", "l_tax"], 0.1)
@@ -295,7 +357,41 @@ def tweedie_normal(spark, sf_dir):
     return _weights(spark, linear.tweedie(_xy(spark, sf_dir), ["x1", "x2"], "y", power=0.0, alpha=0.5))
 
 
-def _binary(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
+def _newton(rows: str, start: str, parts: str, penalty: float, rounds: int = 40) -> str:
+    """Newton steps for a slope w and an intercept b; ``parts`` gives a row's first and second derivative by w x + b."""
+    return f"""
+with recursive r as ({rows}),
+f(i, w, b) as (
+  select 0, 0.0::double, ({start})::double
+  union all
+  select i + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) from (
+    select i, w, b, sum(g * x) + {penalty} * w as gw, sum(g) as gb, sum(h * x * x) + {penalty} as hww, sum(h * x) as hwb, sum(h) as hbb
+    from (select f.i, f.w, f.b, r.x, {parts} from f, r where f.i < {rounds}) group by i, w, b)
+)
+select 'x1' as feature, round(w, 6) + 0.0 as weight from f where i = {rounds} union all select 'intercept', round(b, 6) + 0.0 from f where i = {rounds}
+"""
+
+
+_GLM = "select l_quantity as x, l_extendedprice / 1000 as y from lineitem"
+for _name, _power, _parts, _from in (
+    ("poisson", 1.0, "exp(w * x + b) - y as g, exp(w * x + b) as h", "select ln(avg(y)) from r"),
+    ("gamma", 2.0, "1 - y / exp(w * x + b) as g, y / exp(w * x + b) as h", "select ln(avg(y)) from r"),
+    ("normal", 0.0, "w * x + b - y as g, 1.0::double as h", "select avg(y) from r"),
+):
+    BOOK.add(f"tweedie_{_name}_slope", _newton(_GLM, _from, _parts, 0.5))(
+        lambda spark, sf_dir, p=_power: _weights(spark, linear.tweedie(_xy(spark, sf_dir), ["x1"], "y", power=p, alpha=0.5, tolerance=1e-9))
+    )
+
+_SIGMOID = "1 / (1 + exp(-(w * x + b)))"
+
+
+@BOOK.add("logistic_slope", _newton("select l_quantity / 10 as x, (l_extendedprice > 40000)::integer as y from lineitem", "0", f"{_SIGMOID} - y as g, {_SIGMOID} * (1 - {_SIGMOID}) as h", 1.0))
+def logistic_slope(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).alias("x1"), (F.col("l_extendedprice") > 40000).alias("is"))
+    return _weights(spark, linear.logistic(df, ["x1"], "is", tolerance=1e-9))
+
+
+def _binary(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     return embedded(spark, sf_dir, width).withColumn("is", F.col("label") < 5)
 
 
@@ -307,12 +403,12 @@ def logistic(spark, sf_dir):
 @BOOK.add("multi_logistic")
 def multi_logistic(spark, sf_dir):
     df = embedded(spark, sf_dir, 8)
-    return linear.multi_logistic(df, _PART, "label").predict(df).select("vec_id", "prediction")
+    return linear.multi_logistic(df, _EIGHT, "label").predict(df).select("vec_id", "prediction")
 
 
 # Bayes
 
-_NB = "with e as (select vec_id, label, j, embedding[j + 1]::double as x from embeddings, unnest(range(8)) t(j))"
+_NB = "with e as (select vec_id, label, j, embedding[j + 1]::double as x from embeddings, unnest(range(64)) t(j))"
 
 
 @BOOK.add(
@@ -323,14 +419,24 @@ s as (select e.vec_id, g.label, sum(-0.5 * ln(2 * pi() * (v + eps)) - (x - m) **
 select vec_id, arg_max(label, ll) as prediction from s group by vec_id""",
 )
 def gaussian_nb(spark, sf_dir):
-    df = embedded(spark, sf_dir, 8)
+    df = embedded(spark, sf_dir)
     return bayes.gaussian_nb(df, _PART, "label").predict(df).select("vec_id", "prediction")
 
 
-@BOOK.add("naive_bayes_proba")
+@BOOK.add(
+    "naive_bayes_proba",
+    _NB + """, g as (select label, j, avg(x) as m, var_pop(x) as v, count(*) as n from e group by all), eps as (select 1e-9 * max(v) as eps from (select j, var_pop(x) as v from e group by j)),
+p as (select label, n / sum(n) over () as prior from (select label, any_value(n) as n from g group by label)),
+s as (select e.vec_id, g.label, sum(-0.5 * ln(2 * pi() * (v + eps)) - (x - m) ** 2 / (2 * (v + eps))) + any_value(ln(prior)) as ll from e join g using (j) join p on p.label = g.label, eps group by e.vec_id, g.label),
+t as (select *, max(ll) over (partition by vec_id) as top from s)
+select vec_id, label, round(exp(ll - top) / sum(exp(ll - top)) over (partition by vec_id), 6) + 0.0 as proba from t""",
+)
 def naive_bayes_proba(spark, sf_dir):
     df = embedded(spark, sf_dir)
-    return bayes.gaussian_nb(df, dims(64), "label").predict_proba(df).select("vec_id", "proba")
+    model = bayes.gaussian_nb(df, dims(64), "label")
+    out = model.predict_proba(df).select("vec_id", F.posexplode("proba").alias("place", "proba"))
+    labels = F.array(*[F.lit(c) for c in model.classes])
+    return rounded(out.select("vec_id", labels[F.col("place")].alias("label"), "proba"), ["proba"])
 
 
 _COUNTS = "with r as (select l_returnflag as label, l_quantity as f0, l_discount * 100 as f1, l_tax * 100 as f2 from lineitem)"
@@ -364,19 +470,19 @@ def bernoulli_nb(spark, sf_dir):
 @BOOK.add(
     "ftrl_step",
     """
-with e as (select j, embedding[j + 1]::double as x, (label < 5)::integer as y from embeddings, unnest(range(8)) t(j)), g as (select j, sum((0.5 - y) * x) as g from e group by j)
+with e as (select j, embedding[j + 1]::double as x, (label < 5)::integer as y from embeddings, unnest(range(64)) t(j)), g as (select j, sum((0.5 - y) * x) as g from e group by j)
 select 'e' || j as feature, round(g, 6) + 0.0 as z, round(g * g, 6) as n, round(case when abs(g) <= 0.5 then 0 else -(g - sign(g) * 0.5) / (abs(g) / 0.005 + 0.5) end, 9) + 0.0 as weight from g
 """,
 )
 def ftrl_step(spark, sf_dir):
-    m = bayes.Ftrl(tuple(_PART), np.zeros(8), np.zeros(8)).update(_binary(spark, sf_dir), "is")
+    m = bayes.Ftrl(tuple(_PART), np.zeros(64), np.zeros(64)).update(_binary(spark, sf_dir), "is")
     return listed(spark, [(f, round(z, 6) + 0.0, round(n, 6), round(w, 9) + 0.0) for f, z, n, w in zip(_PART, m.z.tolist(), m.n.tolist(), m.weights().tolist())], "feature string, z double, n double, weight double")
 
 
 # Trees
 
 _STUMP = """
-with e as (select j, embedding[j + 1]::double as x, (label < 5)::integer as y from embeddings, unnest(range(8)) t(j)),
+with e as (select j, embedding[j + 1]::double as x, (label < 5)::integer as y from embeddings, unnest(range(64)) t(j)),
 g as (select j, x, sum(y)::double as p, count(*)::double as n from e group by j, x),
 s as (select j, x, lead(x) over w as nx, sum(p) over w as lp, sum(n) over w as ln, sum(p) over (partition by j) as tp, sum(n) over (partition by j) as tn from g window w as (partition by j order by x)),
 i as (select j, (x + nx) / 2 as v, ln / tn * {left} + (1 - ln / tn) * {right} as score, {whole} as whole from s where nx - x >= 1e-5)
@@ -414,12 +520,12 @@ def _unpruned(df: DataFrame, quality: str) -> trees.Node:
 
 @BOOK.add("decision_tree")
 def decision_tree(spark, sf_dir):
-    df = embedded(spark, sf_dir, 8)
+    df = embedded(spark, sf_dir)
     return trees.decision_tree(df, _PART, "label", params=trees.TreeParams(max_depth=4)).predict(df).select("vec_id", "prediction")
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> Dataset:
-    return Dataset.of(embedded(spark, sf_dir, 8), _PART, ["label"], order=["vec_id"])
+    return Dataset.of(embedded(spark, sf_dir, 8), _EIGHT, ["label"], order=["vec_id"])
 
 
 @BOOK.add("random_forest")
@@ -436,7 +542,7 @@ def bagging(spark, sf_dir):
 
 @BOOK.add("ada_boost")
 def ada_boost(spark, sf_dir):
-    ds = Dataset.of(_binary(spark, sf_dir), _PART, ["is"], order=["vec_id"])
+    ds = Dataset.of(_binary(spark, sf_dir, 8), _EIGHT, ["is"], order=["vec_id"])
     return trees.ada_boost(ds, 4).predict(ds.df).select("vec_id", "prediction")
 
 
@@ -444,58 +550,73 @@ def ada_boost(spark, sf_dir):
 
 
 def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _binary(spark, sf_dir, 4)
+    return _binary(spark, sf_dir)
 
 
 @BOOK.add("svc")
 def svc(spark, sf_dir):
     df = _few(spark, sf_dir)
-    return svm.svc(df, dims(4), "is", kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict(df).select("vec_id", "prediction")
+    return svm.svc(df, dims(64), "is", kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict(df).select("vec_id", "prediction")
 
 
 @BOOK.add("svc_nu")
 def svc_nu(spark, sf_dir):
     df = _few(spark, sf_dir)
-    return svm.svc(df, dims(4), "is", c=None, nu=0.5, kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict(df).select("vec_id", "prediction")
+    return svm.svc(df, dims(64), "is", c=None, nu=0.5, kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict(df).select("vec_id", "prediction")
 
 
 @BOOK.add("svc_probability")
 def svc_probability(spark, sf_dir):
     df = _few(spark, sf_dir)
-    return svm.svc(df, dims(4), "is", kernel=svm.Kernel("gaussian", 2.0), eps=1e-3, probabilities=True).predict_probability(df).select("vec_id", "probability")
+    return svm.svc(df, dims(64), "is", kernel=svm.Kernel("gaussian", 2.0), eps=1e-3, probabilities=True).predict_probability(df).select("vec_id", "probability")
 
 
 @BOOK.add("svm_one_class")
 def svm_one_class(spark, sf_dir):
     df = _few(spark, sf_dir)
-    return svm.one_class(df, dims(4), 0.1, eps=1e-3).predict(df).select("vec_id", "prediction")
+    return svm.one_class(df, dims(64), 0.1, eps=1e-3).predict(df).select("vec_id", "prediction")
 
 
 @BOOK.add("svr")
 def svr(spark, sf_dir):
     df = _few(spark, sf_dir)
-    return svm.svr(df, dims(4)[1:], "e0", kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict_value(df).select("vec_id", "prediction")
+    return svm.svr(df, dims(64)[1:], "e0", kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict_value(df).select("vec_id", "prediction")
 
 
 @BOOK.add("svr_nu")
 def svr_nu(spark, sf_dir):
     df = _few(spark, sf_dir)
-    return svm.svr(df, dims(4)[1:], "e0", nu=0.5, kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict_value(df).select("vec_id", "prediction")
+    return svm.svr(df, dims(64)[1:], "e0", nu=0.5, kernel=svm.Kernel("gaussian", 2.0), eps=1e-3).predict_value(df).select("vec_id", "prediction")
 
 
 @BOOK.add("linear_svc")
 def linear_svc(spark, sf_dir):
-    return _weights(spark, svm.linear_svc(_binary(spark, sf_dir), _PART, "is"))
+    return _weights(spark, svm.linear_svc(_binary(spark, sf_dir, 8), _EIGHT, "is"))
 
 
 # Composition
 
 
-@BOOK.add("platt_scaling")
+@BOOK.add(
+    "platt_scaling",
+    f"""
+with recursive r as (select vec_id, -embedding[1]::double as x, label < 5 as y from embeddings),
+n as (select count(*) filter (where y)::double as pos, count(*) filter (where not y)::double as neg from r),
+t as (select vec_id, x, case when y then (pos + 1) / (pos + 2) else 1 / (neg + 2) end as y from r, n),
+f(i, w, b) as (
+  select 0, 0.0::double, (select -ln((neg + 1) / (pos + 1)) from n)
+  union all
+  select i + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) from (
+    select i, w, b, sum(g * x) as gw, sum(g) as gb, sum(h * x * x) as hww, sum(h * x) as hwb, sum(h) as hbb
+    from (select f.i, f.w, f.b, t.x, {_SIGMOID} - t.y as g, {_SIGMOID} * (1 - {_SIGMOID}) as h from f, t where f.i < 25) group by i, w, b)
+)
+select vec_id, round({_SIGMOID}, 4) + 0.0 as probability from t, f where i = 25
+""",
+)
 def platt_scaling(spark, sf_dir):
     df = _binary(spark, sf_dir)
     p = compose.platt_fit(df, "e0", "is")
-    return p.predict(df, "e0").select("vec_id", "probability")
+    return rounded(p.predict(df, "e0").select("vec_id", "probability"), ["probability"], 4)
 
 
 @BOOK.add(
@@ -564,23 +685,45 @@ def pca(spark, sf_dir):
 
 
 for _kind in ("gaussian", "sparse"):
-    BOOK.add(f"random_projection_{_kind}")(lambda spark, sf_dir, k=_kind: reduction.random_projection(embedded(spark, sf_dir), dims(64), k, 8).transform(embedded(spark, sf_dir)).select("vec_id", *[f"rp{i}" for i in range(8)]))
+    _cell = f"({normal_sql(42, 'i', 'j')} / 8)" if _kind == "gaussian" else f"(case when {uniform_sql(42, 'i', 'j', 0)} >= 0.125 then 0 when {uniform_sql(42, 'i', 'j', 1)} < 0.5 then 8 else -8 end)"
+    _sql = f"""
+with m as (select i, j, {_cell} as c from range(64) a(i), range(8) b(j)), e as (select vec_id, i, embedding[i + 1]::double as x from embeddings, unnest(range(64)) t(i)),
+p as (select vec_id, j, round(sum(x * c), 6) + 0.0 as v from e join m using (i) group by all)
+select vec_id, {", ".join(f"max(v) filter (where j = {j}) as rp{j}" for j in range(8))} from p group by vec_id
+"""
+    BOOK.add(f"random_projection_{_kind}", _sql)(lambda spark, sf_dir, k=_kind: rounded(reduction.random_projection(embedded(spark, sf_dir), dims(64), k, 8).transform(embedded(spark, sf_dir)).select("vec_id", *[f"rp{i}" for i in range(8)]), [f"rp{i}" for i in range(8)]))
 
 
 @BOOK.add("fast_ica")
 def fast_ica(spark, sf_dir):
-    df = embedded(spark, sf_dir, 8)
-    return reduction.fast_ica(df, _PART, 4, iterations=20).predict(df).select("vec_id", *[f"ic{i}" for i in range(4)])
+    df = embedded(spark, sf_dir)
+    return reduction.fast_ica(df, _PART, 4).predict(df).select("vec_id", *[f"ic{i}" for i in range(4)])
 
 
 for _kind, _fit in (("regression", reduction.pls_regression), ("canonical", reduction.pls_canonical), ("cca", reduction.pls_cca)):
-    BOOK.add(f"pls_{_kind}")(lambda spark, sf_dir, fit=_fit: fit(embedded(spark, sf_dir, 8), _PART[:4], _PART[4:], 2).predict(embedded(spark, sf_dir, 8)).select("vec_id", *[f"prediction_e{i}" for i in range(4, 8)]))
+    BOOK.add(f"pls_{_kind}")(lambda spark, sf_dir, fit=_fit: fit(embedded(spark, sf_dir), _PART[:32], _PART[32:], 2).predict(embedded(spark, sf_dir)).select("vec_id", *[f"prediction_e{i}" for i in range(32, 64)]))
+
+
+@BOOK.add(
+    "pls_one_component",
+    """
+with r as (select l_quantity as a, l_discount * 100 as b, l_extendedprice / 1000 as y from lineitem),
+m as (select avg(a) as ma, stddev_samp(a) as sa, avg(b) as mb, stddev_samp(b) as sb, avg(y) as my, stddev_samp(y) as sy from r),
+z as (select (a - ma) / sa as a, (b - mb) / sb as b, (y - my) / sy as y from r, m),
+w as (select sum(a * y) as wa, sum(b * y) as wb from z), q as (select sum((wa * a + wb * b) * y) / sum((wa * a + wb * b) ** 2) as q from z, w)
+select a as x1, b as x2, round(my + sy * q * (wa * (a - ma) / sa + wb * (b - mb) / sb), 6) + 0.0 as prediction_y from (select distinct a, b from r), m, w, q
+""",
+)
+def pls_one_component(spark, sf_dir):
+    df = _xy(spark, sf_dir)
+    model = reduction.pls_regression(df, ["x1", "x2"], ["y"], 1)
+    return rounded(model.predict(df.select("x1", "x2").distinct()).select("x1", "x2", "prediction_y"), ["prediction_y"])
 
 
 @BOOK.add("pls_svd")
 def pls_svd(spark, sf_dir):
-    df = embedded(spark, sf_dir, 8)
-    return reduction.pls_svd(df, _PART[:4], _PART[4:], 2).transform(df).select("vec_id", "xs0", "xs1", "ys0", "ys1")
+    df = embedded(spark, sf_dir)
+    return reduction.pls_svd(df, _PART[:32], _PART[32:], 2).transform(df).select("vec_id", "xs0", "xs1", "ys0", "ys1")
 
 
 @BOOK.add("diffusion_map")
@@ -610,7 +753,7 @@ def stream_gaussian_nb(spark, sf_dir):
 @BOOK.add("stream_kmeans")
 def stream_kmeans(spark, sf_dir):
     def learn(df: DataFrame, m):
-        cols = df.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+        cols = df.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
         return clusters.kmeans_update(m, cols, _PART, _K)[0]
 
     query, models = fit_stream(parquet_stream(spark, f"{sf_dir}/embeddings.parquet"), f"kmeans-{uuid.uuid4().hex}", learn)
@@ -626,7 +769,7 @@ def stream_ftrl(spark, sf_dir):
     query, models = fit_stream(parquet_stream(spark, f"{sf_dir}/events.parquet"), f"ftrl-{uuid.uuid4().hex}", learn)
     query.awaitTermination()
     m = models.latest()
-    return listed(spark, list(zip(m.features, m.z, m.n, m.weights())), "feature string, z double, n double, weight double")
+    return listed(spark, [(f, round(z, 4) + 0.0, round(n, 2), round(w, 9) + 0.0) for f, z, n, w in zip(m.features, m.z.tolist(), m.n.tolist(), m.weights().tolist())], "feature string, z double, n double, weight double")
 
 
 __all__ = ["BOOK", "LINE"]

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import require
+from ..functions.hashing import SPAN, drawn
 
 
 def uniform(seed: int, *keys: Column | int) -> Column:
     """A number in (0, 1) hashed from seed and keys."""
-    parts = [F.lit(seed), *[k if isinstance(k, Column) else F.lit(k) for k in keys]]
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / float(1 << 53)
+    return (drawn(seed, *keys).cast("double") + 0.5) / float(SPAN)
 
 
 def normal(seed: int, *keys: Column | int) -> Column:
