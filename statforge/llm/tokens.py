@@ -17,7 +17,8 @@ known at a state that is needed, it is taken there and the scan repeated.
 
 The automaton is compiled as texts need it.  It is dropped once it has more
 than ``MOST_STATES`` states; a text in work keeps only its present state, so
-counts don't depend on it.  Texts are fed in parts of ``PART`` characters.
+counts don't depend on it.  Texts are fed in parts of ``PART`` characters, or
+fewer while the automaton grows fast.
 
 Results: a null text has a null count, an empty text 0.  Rows are kept one to
 one, repeated rows and ids included; texts of any length are counted whole, an
@@ -42,11 +43,12 @@ from .textops import slices
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Entries growing from a position are listed, to merge equal states, where there are no more than this.
 FEW = 6
-CHUNK = 512
+CHUNK = 1024
 #: The compiled automaton is dropped when it has more states than this; on random text each takes about 3 KB.
 MOST_STATES = 100_000
-#: Characters that are counted between two looks at the automaton's size.
-PART = 1 << 19
+#: Characters that are counted between two looks at the automaton's size; an eighth while it grows by more than GROWING states.
+PART = 1 << 22
+GROWING = 20_000
 #: A transition's value: the next state above, the weight plus an offset in the low bits.
 _BITS, _OFFSET = 13, 1 << 12
 _HASH = 0x9E3779B97F4A7C15
@@ -342,25 +344,26 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        out, i = np.zeros(len(texts), np.int64), 0
+        out, i, grown = np.zeros(len(texts), np.int64), 0, 0
+        state = at = 0  # in the text that is being counted
         while i < len(texts):
             if self.crowded():
-                self.forget()
-            if len(texts[i]) > PART:
-                state = 0
-                for at in range(0, len(texts[i]), PART):
-                    if self.crowded():
-                        state = self.forget(state)
-                    n, state = self._counted([texts[i][at : at + PART]], state)
-                    out[i] += n[0]
-                i += 1
-                continue
-            j, size = i, 0
-            while j < len(texts) and size + len(texts[j]) <= PART:
-                size += len(texts[j])
-                j += 1
-            out[i:j], _ = self._counted(texts[i:j], 0)
-            i = j
+                state = self.forget(state)
+            before, part = len(self.states), PART if grown <= GROWING else PART // 8
+            if at or len(texts[i]) > part:
+                n, state = self._counted([texts[i][at : at + part]], state)
+                out[i] += n[0]
+                at += part
+                if at >= len(texts[i]):
+                    i, state, at = i + 1, 0, 0
+            else:
+                j, size = i, 0
+                while j < len(texts) and size + len(texts[j]) <= part:
+                    size += len(texts[j])
+                    j += 1
+                out[i:j], _ = self._counted(texts[i:j], 0)
+                i = j
+            grown = len(self.states) - before
         return out
 
     def _counted(self, texts: list[str], begin: int) -> tuple[np.ndarray, int]:
