@@ -45,7 +45,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FEW = 6
 CHUNK = 1024
 #: The compiled automaton is dropped when it has more states than this; on random text each takes about 3 KB.
-MOST_STATES = 100_000
+MOST_STATES = 200_000
 #: Characters that are counted between two looks at the automaton's size; an eighth while it grows by more than GROWING states.
 PART = 1 << 22
 GROWING = 20_000
