@@ -36,11 +36,11 @@ from .tables import only, written
 from .textops import Words, buffers, slices
 
 #: Labels of each class that the fit may use.
-FIT_ROWS = 5_000
+FIT_ROWS = 3_000
 PAIRS_PER_ROW = 8
 #: The quantile's level is the share of low quality less this part of it, so that wrong labels cost no clean document.
 SPARE = 0.02
-GRAMS, SHAPES = 1024, 4
+GRAMS, SHAPES = 512, 4
 FEATURES = GRAMS + SHAPES
 #: Shares of byte sequences are small: so many times them are features.
 SCALE = 32.0
@@ -84,7 +84,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for back in (1, 2):
         at = off[1:] - back
         whole[at[at >= off[:-1]]] = False
-    return (h >> np.uint32(22)).astype(np.int64), whole, off
+    return (h >> np.uint32(23)).astype(np.int64), whole, off
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +213,12 @@ def fit(
             columns = [*(pc.filter(batch.column(c), keep) for c in ("good", "turn")), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))]
             yield pa.RecordBatch.from_arrays(columns, names=["good", "turn", "x"])
 
-    rows = texts.mapInArrow(measure, "good boolean, turn bigint, x array<float>").toPandas()
-    if not len(rows):
+    rows = texts.mapInArrow(measure, "good boolean, turn bigint, x array<float>").toArrow()  # at most 2 * fit_rows rows
+    if not rows.num_rows:
         return (0.0,) * FEATURES
-    rows = rows.sort_values(["turn", "good"], kind="stable")  # the same fit in whatever order the rows arrive
-    return fit_pairs(np.stack(rows["x"].to_numpy()), rows["good"].to_numpy(bool))
+    rows = rows.sort_by([("turn", "ascending"), ("good", "ascending")]).combine_chunks()  # the same fit in whatever order the rows arrive
+    x = np.concatenate([c.flatten().to_numpy() for c in rows.column("x").chunks]).reshape(-1, FEATURES).astype(float)
+    return fit_pairs(x, rows.column("good").to_numpy())
 
 
 def threshold(scores: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality") -> float:

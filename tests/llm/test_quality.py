@@ -78,7 +78,7 @@ def plain_score(text, weights):
     for a, b, c in zip(raw, raw[1:], raw[2:]):
         h = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
         h ^= h >> 15
-        total += weights[4 + ((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 22)]
+        total += weights[4 + ((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 23)]
     return sum(a * b for a, b in zip(shape, weights)) + 32 * total / max(1, len(raw) - 2)
 
 
