@@ -45,6 +45,8 @@ FEATURES = GRAMS + SHAPES
 #: Shares of byte sequences are small: so many times them are features.
 SCALE = 32.0
 _ONE = float(1 << 40)
+#: Bytes of text measured at once; scratch memory is some 60 times as much.
+SLICE = 1_000_000
 #: Up to this many labelled ids are broadcast to pick their texts; beyond it all texts are scored.
 BROADCAST_IDS = 500_000
 
@@ -90,7 +92,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All features of each text, and a mask of texts with any word."""
     out, has = np.zeros((len(texts), FEATURES), np.float32), np.zeros(len(texts), bool)
-    for i, j in slices(texts):
+    for i, j in slices(texts, SLICE):
         part = texts.slice(i, j - i)
         out[i:j, :SHAPES], has[i:j] = shapes(part)
         bucket, whole, off = grams(part)
@@ -176,7 +178,7 @@ def score_array(texts: pa.Array, weights: tuple[float, ...]) -> pa.Array:
     w = np.array(weights)
     fixed = np.round(w[SHAPES:] * SCALE * _ONE / (1 << 10)).astype(np.int64)
     out, has = np.zeros(len(texts)), np.zeros(len(texts), bool)
-    for i, j in slices(texts):
+    for i, j in slices(texts, SLICE):
         part = texts.slice(i, j - i)
         shape, has[i:j] = shapes(part)
         bucket, whole, off = grams(part)
