@@ -34,12 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import only, written
-from .textops import Words, mix, slices
+from .textops import Words, begins, mix, slices
 
 COORDINATES = 64
 MATCHES = 36
 SHINGLE = 3
 TILE = 2048
+#: Bytes of text signed at once; scratch memory is some 60 times as much.
+SLICE = 1_000_000
+#: Units of a group whose candidates are taken at once, and pairs verified at once.
+ROWS, PAIRS = 128, 20_000
 _RNG = np.random.default_rng(20240501)
 _MULTIPLIERS = _RNG.integers(0, 1 << 63, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -48,7 +52,7 @@ def signatures(texts: pa.Array, coordinates: int = COORDINATES, shingle: int = S
     """Signatures (texts x coordinates, int64) and a mask of texts that have any word."""
     out = np.zeros((len(texts), coordinates), np.int64)
     has = np.zeros(len(texts), bool)
-    for i, j in slices(texts):
+    for i, j in slices(texts, SLICE):
         h, off = Words(texts.slice(i, j - i)).shingles(shingle)
         rows = np.flatnonzero(np.diff(off)) + i
         has[rows] = True
@@ -65,6 +69,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, coordinates: int, shingle:
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("neardup")
         for batch in batches:
             sig, has = signatures(batch.column("text"), coordinates, shingle)
             unit = np.full(len(sig), 17, np.uint64)
@@ -80,6 +85,20 @@ def signed(df: DataFrame, id_col: str, text_col: str, coordinates: int, shingle:
     return rows.mapInArrow(sign, f"doc_id {id_type}, th bigint, unit bigint, sig array<bigint>")
 
 
+def confirmed(meets: np.ndarray, sig: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, matches) with a < b of the candidates that agree often enough, found in blocks of rows."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    for first in range(0, len(meets), ROWS):
+        a, b = np.nonzero(np.triu(meets[first : first + ROWS], first + 1))
+        a += first
+        for s in range(0, len(a), PAIRS):
+            x, y = a[s : s + PAIRS], b[s : s + PAIRS]
+            count = (sig[x] == sig[y]).sum(axis=1).astype(np.int32)
+            ok = count >= matches
+            out.append((x[ok], y[ok], count[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def unit_pairs(units: DataFrame, coordinates: int, matches: int) -> DataFrame:
     """(a, b, matches) with a < b for all pairs of units (unit, sig) that agree often enough."""
     posted = units.select("unit", F.explode("sig").alias("value"))
@@ -103,6 +122,7 @@ def unit_pairs(units: DataFrame, coordinates: int, matches: int) -> DataFrame:
     )
 
     def verify(group: pa.Table) -> pa.Table:
+        begins("neardup")
         unit = group.column("unit").to_numpy()
         own_tile = group.column("own").to_numpy()
         sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(len(unit), -1)
@@ -118,13 +138,9 @@ def unit_pairs(units: DataFrame, coordinates: int, matches: int) -> DataFrame:
                 meets[np.ix_(row[s:e], row[s:e])] = True
         if group.column("i")[0].as_py() != group.column("j")[0].as_py():
             meets &= own_tile[:, None] != own_tile[None, :]  # pairs within a tile have a group of their own
-        a, b = np.nonzero(np.triu(meets, 1))
-        count = np.zeros(len(a), np.int32)
-        for s in range(0, len(a), 100_000):
-            count[s : s + 100_000] = (sig[a[s : s + 100_000]] == sig[b[s : s + 100_000]]).sum(axis=1)
-        ok = count >= matches
-        x, y = unit[a[ok]], unit[b[ok]]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "matches": count[ok]})
+        a, b, count = confirmed(meets, sig, matches)
+        x, y = unit[a], unit[b]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "matches": count})
 
     found = tiled.groupBy("leader", "i", "j").applyInArrow(verify, "a bigint, b bigint, matches int")
     return found.dropDuplicates(["a", "b"])

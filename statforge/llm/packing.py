@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .tables import written
+from .textops import begins
 
 WINDOW = 2048
 SHARD_ROWS = 50_000
@@ -85,6 +86,7 @@ def packed(
     id_type = sized.schema["doc_id"].dataType.simpleString()
 
     def pack(group: pa.Table) -> pa.Table:
+        begins("packing")
         turn, n = group.column("turn").to_numpy(), group.column("length").to_numpy()
         order = np.lexsort((n, turn))
         item, at, begin, size = place(n[order], window)

@@ -49,6 +49,8 @@ from pyspark.sql import functions as F
 
 from statforge.sources.shipping import ship
 
+from .textops import begins
+
 DEFAULT_KEY = b"statforge demonstration key"
 ROUNDS = 8
 #: Formats of more values than this are permuted character by character.
@@ -491,6 +493,7 @@ def pseudonymised(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KE
     ship(df.sparkSession)
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("privacy")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import only, written
-from .textops import Words, buffers, slices
+from .textops import Words, begins, buffers, slices
 
 #: Labels of each class that the fit may use.
 FIT_ROWS = 3_000
@@ -168,6 +168,7 @@ def scored(df: DataFrame, weights: tuple[float, ...], id_col: str = "doc_id", te
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), score_array(batch.column("text"), weights)], names=["doc_id", "score"])
 
@@ -208,6 +209,7 @@ def fit(
     texts = only(df, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("good", F.xxhash64("turn", "text").alias("turn"), "text")  # at most 2 * fit_rows rows
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("quality")
         for batch in batches:
             x, has = features(batch.column("text"))
             x, keep = x[has], pa.array(has)
@@ -256,6 +258,7 @@ def filtered(df: DataFrame, labels: DataFrame, text_col: str = "text", fit_rows:
     model = Ranking(weights, threshold(written(scored(some, weights), "scores"), labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("quality")
         for batch in batches:
             score = score_array(batch.column(text_col), model.weights)
             yield batch.filter(pc.fill_null(pc.greater(score, model.threshold), False))

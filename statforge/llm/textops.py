@@ -9,7 +9,8 @@ lower case; as a regular expression over the lower-cased text that is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,26 @@ for _i in range(1, 64):
     _POW[_i] = np.uint64((int(_POW[_i - 1]) * _BASE) & 0xFFFFFFFFFFFFFFFF)
 
 
+#: What operators keep in this worker process for later batches, by operator: a function that drops it.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], object]) -> None:
+    """Note that an operator keeps something in this worker process."""
+    _kept[operator] = drop
+
+
+def begins(operator: str) -> None:
+    """Drop what other operators keep in this worker process: workers outlive a query, and two operators' memory may not fit."""
+    others = [o for o in _kept if o != operator]
+    for other in others:
+        _kept.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc keeps freed memory otherwise
+            libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every other one."""
     x = x ^ (x >> np.uint64(31))

@@ -38,16 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import only
-from .textops import slices
+from .textops import begins, keeps, slices
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Entries growing from a position are listed, to merge equal states, where there are no more than this.
 FEW = 6
 CHUNK = 1024
-#: The compiled automaton is dropped when it has more states than this; on random text each takes about 3 KB.
+#: The compiled automaton is dropped when it has more states than this.
 MOST_STATES = 200_000
+#: Entries of each table of results that can be found again; it is emptied when it has so many.
+MOST_FOUND = 50_000
 #: Characters that are counted between two looks at the automaton's size; an eighth while it grows by more than GROWING states.
 PART = 1 << 22
+#: Bytes of text that are counted at once; scratch memory is some 30 times as much.
+SLICE = 2_000_000
 GROWING = 20_000
 #: A transition's value: the next state above, the weight plus an offset in the low bits.
 _BITS, _OFFSET = 13, 1 << 12
@@ -55,6 +59,13 @@ _HASH = 0x9E3779B97F4A7C15
 _CLASS = [("W", regex.compile(r"\s")), ("L", regex.compile(r"\p{L}")), ("N", regex.compile(r"\p{N}"))]
 
 
+def noted(found: dict, key: int, value: object) -> None:
+    """Add a result to a table of bounded size."""
+    if len(found) >= MOST_FOUND:
+        found.clear()
+    found[key] = value
+
+
 class Merges:
     """The byte-pair part: a lazily determinised automaton over the bytes of one piece."""
 
@@ -82,12 +93,17 @@ class Merges:
 
     def forget(self) -> None:
         """Drop what was compiled."""
-        self.pair: dict[tuple[int, int], bool] = {}
-        self.open: dict[tuple[int, int], tuple | None] = {}
-        first = ((0, (-1,), 0),)
+        self.pair: dict[int, bool] = {}
+        self.open: dict[int, tuple | None] = {}
+        self.views: dict[tuple, tuple] = {}
+        first = (0, self.view(-1), 0)  # of each position: its node, its view, the tokens spent since
         self.states = [first]
         self.index = {first: 0}
-        self.next: dict[tuple[int, int], tuple[int, int]] = {}
+        self.next: dict[int, tuple[int, int]] = {}
+
+    def view(self, *parts: int | frozenset) -> tuple:
+        """The one tuple of these parts: states share equal views."""
+        return self.views.setdefault(parts, parts)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave token a beside token b as they are.
@@ -96,7 +112,8 @@ class Merges:
         that then meet must not merge sooner than the merge just undone; among
         equal ranks the one further left comes first.
         """
-        ok = self.pair.get((a, b))
+        key = a << 32 | b
+        ok = self.pair.get(key)
         if ok is None:
             x, y, limit, ok = a, b, 1 << 60, True
             while True:
@@ -111,7 +128,7 @@ class Merges:
                     if y < self.base:
                         break
                     limit, y = y + 1, self.halves(y)[0]
-            self.pair[a, b] = ok
+            noted(self.pair, key, ok)
         return ok
 
     def halves(self, token: int) -> tuple[int, int]:
@@ -140,25 +157,27 @@ class Merges:
 
     def outlook(self, node: int, last: int) -> tuple | None:
         """What a position allows yet: the last token before it, or the few tokens that may end there."""
-        key = node, last
-        if key not in self.open:
+        key = node << 32 | last + 1
+        got = self.open.get(key, self)
+        if got is self:
             if not self.child[node]:
                 got = None
             elif last < 0 or (below := self.grown(node)) is None:
-                got = (last,)
+                got = self.view(last)
             else:
                 ok = frozenset(w for w in below if self.fits(last, w))
-                got = (-2, ok) if ok else None
-            self.open[key] = got
-        return self.open[key]
+                got = self.view(-2, ok) if ok else None
+            noted(self.open, key, got)
+        return got
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """Next state and the change in the number of tokens."""
-        found = self.next.get((state, byte))
+        found = self.next.get(state << 8 | byte)
         if found:
             return found
         reached, token, spent = [], -1, 0
-        for node, view, used in self.states[state]:
+        parts = iter(self.states[state])
+        for node, view, used in zip(parts, parts, parts):
             m = self.child[node].get(byte)
             if m is None:
                 continue
@@ -170,18 +189,18 @@ class Merges:
         for m, view, used in reached:
             if view[0] == -2:
                 left = view[1] & self.grown(m)
-                view = (-2, left) if left else None
+                view = self.view(-2, left) if left else None
             else:
                 view = self.outlook(m, view[0])
             if view is not None:
-                out.append((m, view, used + delta))
-        out.append((0, (token,), 0))
+                out += m, view, used + delta
+        out += 0, self.view(token), 0
         key = tuple(out)
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.states)
             self.states.append(key)
-        self.next[state, byte] = to, delta
+        noted(self.next, state << 8 | byte, (to, delta))
         return to, delta
 
     def run(self, state: int, data: bytes) -> tuple[int, int]:
@@ -439,10 +458,11 @@ _compiled: dict[int, Transducer] = {}
 
 
 def compiled(vocabulary: bytes) -> Transducer:
-    """One transducer a worker process; what it has compiled stays for later batches."""
+    """One transducer a worker process; what it has compiled stays for later batches, until another operator begins."""
     key = hash(vocabulary)
     if key not in _compiled:
         _compiled[key] = Transducer(vocabulary)
+        keeps("tokens", _compiled.clear)
     return _compiled[key]
 
 
@@ -457,11 +477,12 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("tokens")
         machine = compiled(shipped.value)
         for batch in batches:
             texts = batch.column("text")
             out = np.zeros(len(texts), np.int64)
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE):
                 out[i:j] = machine.count(pc.fill_null(texts.slice(i, j - i), "").to_pylist())
             n = pa.array(out, pa.int64(), mask=np.asarray(texts.is_null()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, *(batch.column(c) for c in also)], names=["doc_id", "n_tokens", *also])

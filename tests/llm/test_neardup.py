@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,33 @@ def test_odd_rows(odd, empty, make):
     assert deduplicated(make([(None, "same old text here"), (None, "same old text here")])).count() == 1
 
 
+def test_signing_takes_little_memory():
+    rnd = random.Random(2)
+    text = " ".join(str(rnd.randrange(10**6)) for _ in range(300))
+    texts = pa.array([text] * (8_000_000 // len(text)))
+    tracemalloc.start()
+    sig, has = signatures(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert has.all() and (sig == sig[0]).all()
+    assert peak < 90_000_000 + sig.nbytes
+
+
+def test_groups_are_verified_in_little_memory():
+    from statforge.llm.neardup import TILE, confirmed
+
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 2, (TILE, 64))
+    tracemalloc.start()
+    a, b, count = confirmed(np.ones((TILE, TILE), bool), sig, 44)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000 and (a < b).all() and count.min() >= 44
+    same = (sig[:200, None] == sig[None, :200]).sum(axis=2)
+    want = {(i, j): same[i, j] for i in range(200) for j in range(i + 1, 200) if same[i, j] >= 44}
+    assert {(i, j): n for i, j, n in zip(a, b, count) if j < 200} == want
+
+
 def test_signature_recall():
     rnd = random.Random(1)
     base = [f"w{rnd.randrange(5000)}" for _ in range(400)]

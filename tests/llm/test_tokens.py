@@ -1,10 +1,13 @@
 import base64
 import random
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import tiktoken
 
-from statforge.llm import tokens
+from statforge.llm import neardup, quality, tokens
 from statforge.llm.tokens import DEFAULT_VOCABULARY, Transducer, composed, token_counts
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,6 +42,31 @@ def test_dropping_the_automaton_changes_no_count(monkeypatch):
     assert len(machine.states) < 5000
 
 
+def test_tables_of_found_results_stay_small(monkeypatch):
+    data, encoder = reference()
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("abcdefgh ij0123_ÄÖ漢") for _ in range(20_000))
+    monkeypatch.setattr(tokens, "MOST_FOUND", 300, raising=False)
+    machine = Transducer(data)
+    assert machine.count([text]).tolist() == [len(encoder.encode_ordinary(text))]
+    assert max(len(machine.merges.next), len(machine.merges.open), len(machine.merges.pair)) <= 300
+
+
+@pytest.mark.parametrize("module", [neardup, quality])
+def test_other_operators_drop_the_automaton_of_a_worker(spark, monkeypatch, module):
+    rows = MagicMock()
+    rows.select.return_value = rows
+    monkeypatch.setattr(module, "only", lambda *_, **__: rows)
+    if module is neardup:
+        module.signed(None, "doc_id", "text", 64, 3)
+    else:
+        module.scored(None, (0.0,) * quality.FEATURES)
+    tokens.compiled(reference()[0])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "th": [3, 4], "text": ["some words here", None]})
+    assert sum(b.num_rows for b in rows.mapInArrow.call_args[0][0](iter([batch]))) == 2
+    assert not tokens._compiled
+
+
 def test_maps_compose_like_a_chain():
     rng = np.random.default_rng(3)
     for n, k in ((1, 1), (2, 2), (37, 3), (64, 2)):
