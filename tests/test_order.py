@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from statforge.functions.pairwise import differences
-from statforge.operators import clusters
+from statforge.operators import clusters, neighbours
 
 RNG = np.random.default_rng(8)
 
@@ -38,3 +38,19 @@ def test_order_of_more_points_than_one_may_wait_for(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
     rows = clusters.optics(df, 5).toPandas()
     assert sorted(rows.id) == list(range(20_100)) and sorted(rows.position) == list(range(20_100)) and rows.reachability.isna().sum() == 1 and rows.core_distance.notna().all()
+
+
+@pytest.mark.parametrize("how", [{"clusters": 7}, {"clusters": 1}, {"clusters": None, "distance": 0.8}, {"clusters": 500}])
+@pytest.mark.parametrize("spread", [1.0, 9.0])  # the larger one is cut at 1e-6
+def test_merging_points_equals_merging_their_kernel(spark, how, spread):
+    x = RNG.normal(size=(80, 3)) * spread / 2
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    want = clusters.hierarchical(neighbours.dense_kernel(df, "gaussian", 4.0), "average", **how).orderBy("id").collect()
+    assert clusters.hierarchical_gaussian(df, 4.0, **how).orderBy("id").collect() == want
+
+
+def test_merges_of_more_points_than_a_kernel_may_have(spark):
+    x = np.concatenate([RNG.normal(size=(2600, 2)) * 0.1, RNG.normal(size=(2500, 2)) * 0.1 + 1.5])
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = clusters.hierarchical_gaussian(df, 2.0).orderBy("id").toPandas()
+    assert got.cluster.tolist() == [0] * 2600 + [1] * 2500
