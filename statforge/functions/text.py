@@ -6,6 +6,8 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,16 +17,34 @@ from ..errors import require
 WORDS = r"[\p{L}\p{M}\p{N}_]{2,}"
 
 
+#: Bytes of text that are decoded at once.
+SLICE = 1 << 20
+
+
 def nfkd(text: Column) -> Column:
     """Compatibility decomposition; no built-in has it.  Plain ASCII passes through."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return decomposed(texts)
 
     return run(text)
 
 
+def decomposed(texts: pa.Array) -> pa.Array:
+    """A slice of about ``SLICE`` bytes is decoded at a time, if it isn't plain ASCII; the rest stays in Arrow's buffers."""
+    parts, first, held = [], 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()):
+        held += size
+        if held >= SLICE or i + 1 == len(texts):
+            part = texts.slice(first, i + 1 - first)
+            if not pc.all(pc.string_is_ascii(part), min_count=0).as_py():
+                part = pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKD", t) for t in part.to_pylist()], texts.type)
+            parts.append(part)
+            first, held = i + 1, 0
+    return pa.concat_arrays(parts) if parts else texts
+
+
 def prepared(text: Column, lower: bool = True, normalise: bool = True) -> Column:
     """Normalised first, then lower case."""
     out = nfkd(text) if normalise else text
